@@ -6,3 +6,10 @@ The package is split by role: ``sources`` (scans and sinks), ``functions``
 ``models`` (pluggable inference) and ``llm`` (training-text operators; nothing
 else in the package imports it).
 """
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions sent to Python workers travel by value: executors need no copy of the package.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])
