@@ -35,22 +35,21 @@ RECORDS_SCHEMA = (
     "pos bigint, record_key string, nameless string, body string"
 )
 
-_DECODER = json.JSONDecoder()
 _SKIP = re.compile(r"[\s,\[\]﻿]*")
-_NEXT_LINE = re.compile(r"\n\s*(?=[\[{])|\n(?=\{)")
 
 
 def records_of(content: str | None) -> Iterator[dict]:
     """Complete top-level objects of one small file, in order."""
     if content is None:
         return
+    decode = json.JSONDecoder().raw_decode
     at, n = 0, len(content)
     while True:
         at = _SKIP.match(content, at).end()
         if at >= n:
             return
         try:
-            got, at = _DECODER.raw_decode(content, at)
+            got, at = decode(content, at)
             if isinstance(got, dict):
                 yield got
         except (ValueError, RecursionError):
