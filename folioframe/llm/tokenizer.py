@@ -152,7 +152,10 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
     """word, ids of every distinct word of ``words`` (column word)."""
-    distinct = words.select("word").distinct()
+    # the fold is costly per word: spread the few distinct words over all cores, whatever their bytes
+    sc = words.sparkSession.sparkContext
+    tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sc.defaultParallelism)
+    distinct = words.select("word").distinct().repartition(tasks, "word")
     short = distinct.filter(F.octet_length("word") <= FOLD_BYTES)
     short = short.select("word", fold_merges(F.col("word"), rank_literal(path)).alias("ids"))
 
