@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import mixing, splits, tokenizer
+from folioframe.llm import mixing, quality, splits, tokenizer
 from folioframe.plans.staging import table
 
 
@@ -43,6 +43,17 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.reached_shares(*mixing.fair_mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.not_prose(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
+def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
+    docs, words = table(spark, d, "documents"), table(spark, d, "common_words")
+    common = quality.common_set(words)
+    stats = quality.text_statistics(docs, common, quality.trigram_shares(docs))
+    return stats.select("doc_id", *[F.round(F.col(c), 6).alias(c) for c in quality.STATS])
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_splits": p4_splits,
@@ -50,6 +61,8 @@ QUERIES = {
     "p6_roundtrip": p6_roundtrip,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_statistics": p8_statistics,
 }
 
 ORACLES = {
