@@ -5,10 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import mixing, quality, splits, tokenizer
+from folioframe.llm import mixing, pairs, quality, splits, tokenizer
 from folioframe.plans.staging import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    tables = [table(spark, d, t) for t in ("chat_samples", "bench_annotations", "qa_records")]
+    return pairs.broken_pairs(pairs.qa_pairs(*tables), table(spark, d, "common_words"))
+
+
+def p3_defect_counts(spark: SparkSession, d: str) -> DataFrame:
+    return p3_found(spark, d).groupBy("src_table", "defect").agg(F.count("*").alias("n_pairs"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return splits.related_documents(table(spark, d, "doc_catalog"))
 
@@ -55,6 +64,8 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
+    "p3_found": p3_found,
+    "p3_defect_counts": p3_defect_counts,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
     "p6_ids": p6_ids,
