@@ -190,7 +190,7 @@ def _refusal_templates() -> list[tuple[list[str], set]]:
 
 
 _APOLOGY = re.compile(r"^(?:(?:i'm|i am|we are|we're) (?:very |so )?(?:sorry|afraid)|sorry|apologies|my apologies|i apologi[sz]e|unfortunately|regrettably|as an ai|désolée?|je regrette|je suis désolée?|malheureusement|leider|entschuldigung|es tut mir leid|tut mir leid|bedauerlicherweise|lo siento|lamento|lamentablemente|disculpe|disculpa|perdón|por desgracia|desafortunadamente)\b")
-_INABILITY = re.compile(r"\b(?:can't|cannot|can not|unable|not able|won't|decline|beyond|no access|(?:not|n't) have (?:enough|access)|not possible|no answer|could not|couldn't|without seeing|nicht|keinen|keine|ne peux|ne suis pas|n'ai pas|impossible|no puedo|no tengo|imposible|no me es)\b")
+_INABILITY = re.compile(r"\b(?:can't|cannot|can not|unable|not able|won't|decline|beyond|no access|do not have|don't have|haven't|have no|not possible|no answer|could not|couldn't|without seeing|nicht|keinen|keine|ne peux|ne suis pas|n'ai pas|impossible|no puedo|no tengo|imposible|no me es)\b")
 
 
 _DECLINING = re.compile(_INABILITY.pattern + r"|\bai\b|\bki\b")
@@ -275,6 +275,7 @@ def _lexicon(common: dict[str, frozenset[str]]) -> dict[str, dict[str, float]]:
     return {w: {x: 1.0 / len(langs) for x in langs} for w, langs in of.items()}
 
 
+_PUNCTUATION = ".,;:!?…\"'“”„«»()[]¿¡"
 _MARKS = (
     ("de", re.compile(r"[ß]|[a-z]ung\b|\b\w+keit\b")),
     ("es", re.compile(r"[ñ¿¡]|ción\b|[óíá]n\b")),
@@ -290,21 +291,19 @@ _MARKS = (
 
 def scores(text: str, lexicon, drop: frozenset[str] = frozenset()) -> dict[str, float]:
     out: dict[str, float] = {}
-    raws = []
     for i, piece in enumerate(text.split()):
-        # names and units: capitals inside, digits, or a capital within the sentence
-        core = piece.strip(".,;:!?…\"'“”„«»()[]¿¡")
-        if any(c.isdigit() or c.isupper() for c in core[1:]) or (i and core[:1].isupper() and len(core) < 4) or "/" in core or "+" in core:
-            continue
-        raws += _WORD.findall(piece)
-    for raw in raws:
-        w = raw.lower().replace("’", "'")
-        if w in drop or (len(raw) == 1 and raw.isupper()):
-            continue
-        for lang, x in lexicon.get(w, {}).items():
-            out[lang] = out.get(lang, 0.0) + x
+        core = piece.strip(_PUNCTUATION)
+        if not piece.islower():
+            # names and units: capitals inside, digits, or a short capitalised word within the sentence
+            if (len(core) > 1 and not core[1:].islower()) or (len(core) == 1 and core.isupper()) or (i and len(core) < 4):
+                continue
+            core = core.lower()
+        found = lexicon.get(core)
+        if found and core not in drop:
+            for lang, x in found.items():
+                out[lang] = out.get(lang, 0.0) + x
     low = text.lower()
-    for lang, mark in _MARKS:
+    for lang, mark in _MARKS if not low.isascii() or "'" in low else _MARKS[:1]:
         if mark.search(low):
             out[lang] = out.get(lang, 0.0) + 0.6
     return out
@@ -322,6 +321,7 @@ def script_of(text: str) -> str | None:
 
 
 def question_language(question: str, lexicon) -> str | None:
+    question = question.replace("’", "'")
     if not question.isascii() and (script := script_of(question)) is not None:
         return script
     s = scores(re.sub(r"[\"“„«][^\"”“»]*[\"”“»]", " ", question), lexicon)
@@ -337,25 +337,26 @@ def _named_languages(question: str) -> set[str]:
 def is_other_language(question: str | None, answer: str, lexicon) -> bool:
     if not question:
         return False
+    answer = answer.replace("’", "'")
     script = script_of(answer) if not answer.isascii() else None
     if script is None and question.isascii() and not any(v >= 0.5 for v in scores(answer, lexicon).values()):
         return False
     asked = question_language(question, lexicon)
     if asked is None:
         return False
-    named = _named_languages(question)
     if script is not None:
-        return script != asked and not named
+        return script != asked and not _named_languages(question)
     if asked in dict(_SCRIPTS):
-        return len(_LATIN.findall(answer)) > 12 and not named
+        return len(_LATIN.findall(answer)) > 12 and not _named_languages(question)
     quoted = frozenset(w.lower() for w in _WORD.findall(question) if w[:1].isupper())
     s = scores(answer, lexicon, quoted)
     own = s.get(asked, 0.0)
     other, best = max(((k, v) for k, v in s.items() if k != asked), key=lambda x: x[1], default=(None, 0.0))
-    if other is None or other in named:
+    if other is None or best < 0.5 or best <= 1.5 * own + 0.2:
+        return False
+    if best < 0.9 and len(_WORD.findall(answer)) > 4:
         return False
-    n = len(_WORD.findall(answer))
-    return best >= 0.5 and best > 1.5 * own + 0.2 and (best >= 0.9 or n <= 4)
+    return other not in _named_languages(question)
 
 
 def skeleton(answer: str, keep: frozenset[str]) -> list[str]:
