@@ -147,7 +147,7 @@ def data_url(path: Column, content: Column) -> Column:
     mime = F.lit("application/octet-stream")
     for k, v in MIME_TYPES.items():
         mime = F.when(ext == k, v).otherwise(mime)
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def strip_fence(c: Column) -> Column:
