@@ -21,16 +21,19 @@ def weight_matrix(gt: Column, pred: Column) -> Column:
     return F.transform(gt, lambda g: F.transform(pred, lambda p: geometry.iou(g, p)))
 
 
+def _bit(j: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1), j)
+
+
 def folded_best(rows: Column, n_cols: Column) -> Column:
     """Best sum of a matching of a weight matrix with few columns."""
-    states = F.array_repeat(F.lit(0.0), F.shiftleft(F.lit(1), 0).cast("int") * F.pow(F.lit(2), n_cols).cast("int"))
+    states = F.array_repeat(F.lit(0.0), _bit(n_cols))
 
     def add(best: Column, row: Column) -> Column:
         def state(old: Column, mask: Column) -> Column:
             def through(w: Column, j: Column) -> Column:
-                bit = F.pow(F.lit(2), j).cast("int")
-                used = F.floor(mask / bit).cast("int") % 2 == 1
-                return F.when(used, F.get(best, mask - bit) + w).otherwise(0.0)
+                bit = _bit(j)
+                return F.when(mask.bitwiseAND(bit) != 0, F.get(best, mask - bit) + w).otherwise(0.0)
 
             return F.greatest(old, F.coalesce(F.array_max(F.transform(row, through)), F.lit(0.0)))
 
@@ -82,18 +85,46 @@ def assignment(weights: list[list[float]]) -> float:
     return sum(weights[owner[j] - 1][j - 1] for j in range(1, m + 1) if owner[j])
 
 
-def with_best_sum(df: DataFrame, gt: str, pred: str, out: str) -> DataFrame:
-    """Add ``out`` (the best matching sum of two box columns) to every row."""
-    small = F.least(F.coalesce(F.size(gt), F.lit(0)), F.coalesce(F.size(pred), F.lit(0)))
-    native = df.filter(small <= MASK_BOXES).withColumn(out, best_sum(F.col(gt), F.col(pred)))
+def with_page_sums(df: DataFrame, gt: str, pred: str, out: str) -> DataFrame:
+    """Add ``out``: per page of two page-wise box columns struct(best, n_gt, n_pred). Missing pages are empty.
+
+    All in the row: nothing is exploded or shuffled. Rows with a page whose
+    smaller side is larger than MASK_BOXES go through the Arrow function instead.
+    """
+    none = F.array().cast("array<array<double>>")
+    at = lambda pages, i: F.coalesce(F.get(F.col(pages), i), none)
+    n = F.greatest(F.coalesce(F.size(gt), F.lit(0)), F.coalesce(F.size(pred), F.lit(0)))
+    index = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    big = F.exists(index, lambda i: F.least(F.size(at(gt, i)), F.size(at(pred, i))) > MASK_BOXES)
+
+    def page(i: Column, best: Column) -> Column:
+        return F.struct(best.alias("best"), F.size(at(gt, i)).alias("n_gt"), F.size(at(pred, i)).alias("n_pred"))
+
+    native = df.filter(~big).withColumn(out, F.transform(index, lambda i: page(i, best_sum(at(gt, i), at(pred, i)))))
+    many = df.filter(big).withColumn("__best", _assigned(F.col(gt), F.col(pred)))
+    many = many.withColumn(out, F.transform(index, lambda i: page(i, F.get("__best", i)))).drop("__best")
+    return native.unionByName(many)
+
+
+def box_iou(a, b) -> float:
+    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
+    both = max(0.0, w) * max(0.0, h)
+    size = lambda x: max(0.0, x[2] - x[0]) * max(0.0, x[3] - x[1])
+    union = size(a) + size(b) - both
+    return both / union if union > 0 else 0.0
+
+
+def _assigned(gt: Column, pred: Column) -> Column:
+    import pandas as pd
+
+    def one(g, p):
+        if g is None or p is None:
+            return None
+        pages = [(g[i] if i < len(g) else [], p[i] if i < len(p) else []) for i in range(max(len(g), len(p)))]
+        return [assignment([[box_iou(x, y) for y in q] for x in page]) for page, q in pages]
 
-    def run(batches):
-        for b in batches:
-            b = b.drop(columns=["__w"]).assign(
-                **{out: [assignment([list(r) for r in w]) for w in b["__w"]]}
-            )
-            yield b
+    def over(gts: pd.Series, preds: pd.Series) -> pd.Series:
+        return pd.Series([one(g, p) for g, p in zip(gts, preds)], dtype="object")
 
-    many = df.filter(small > MASK_BOXES).withColumn("__w", weight_matrix(F.col(gt), F.col(pred)))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{out}` double"
-    return native.unionByName(many.mapInPandas(run, schema))
+    over.__annotations__ = {"gts": pd.Series, "preds": pd.Series, "return": pd.Series}
+    return F.pandas_udf(over, "array<double>")(gt, pred)

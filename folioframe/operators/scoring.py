@@ -7,46 +7,37 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import boxparse, matching
 from folioframe.functions import text as tx
+from folioframe.plans.staging import stage
 
 THRESHOLDS = (0.3, 0.5, 0.7)
 
 
-def page_at(pages: Column, i: Column) -> Column:
-    return F.coalesce(F.get(pages, i), F.array().cast("array<array<double>>"))
+def _scores(sums: Column) -> dict[str, Column]:
+    total = lambda f: F.aggregate(sums, F.lit(0.0), lambda acc, x: acc + f(x))
+    larger = lambda x: F.greatest(x["n_gt"], x["n_pred"])
+    boxes = F.greatest(total(lambda x: x["n_gt"]), total(lambda x: x["n_pred"]), F.lit(1.0))
+    by_page = total(lambda x: F.when(larger(x) > 0, x["best"] / larger(x)).otherwise(0.0))
+    return {"sample_iou": total(lambda x: x["best"]) / boxes, "page_iou": by_page / F.greatest(F.size(sums), F.lit(1))}
+
+
+def with_scores(df: DataFrame, gt: str, pred: str) -> DataFrame:
+    """Add sample_iou and page_iou of page-aligned boxes; a missing page counts as empty."""
+    summed = matching.with_page_sums(df, gt, pred, "__sums")
+    return summed.withColumns(_scores(F.col("__sums"))).drop("__sums")
 
 
 def grouped_scores(df: DataFrame, key: str, gt: str, pred: str) -> DataFrame:
-    """key, sample_iou, page_iou of page-aligned boxes; a missing page counts as empty.
-
-    ``key`` must be unique. One row per page is matched, then pages are summed
-    per key (partial sums before the shuffle).
-    """
-    n = F.greatest(F.coalesce(F.size(gt), F.lit(0)), F.coalesce(F.size(pred), F.lit(0)))
-    pages = df.select(key, gt, pred, F.explode_outer(F.when(n > 0, F.sequence(F.lit(0), n - 1))).alias("__i")).select(
-        key, page_at(F.col(gt), F.col("__i")).alias("__g"), page_at(F.col(pred), F.col("__i")).alias("__p")
-    )
-    matched = matching.with_best_sum(pages, "__g", "__p", "__m")
-    larger = F.greatest(F.size("__g"), F.size("__p"))
-    summed = matched.groupBy(key).agg(
-        F.sum("__m").alias("m"), F.sum(F.size("__g")).alias("n_gt"), F.sum(F.size("__p")).alias("n_pred"),
-        F.sum(F.when(larger > 0, F.col("__m") / larger).otherwise(0.0)).alias("by_page"), F.count("*").alias("n_pages"),
-    )
-    return summed.select(
-        key,
-        (F.col("m") / F.greatest("n_gt", "n_pred", F.lit(1))).alias("sample_iou"),
-        (F.col("by_page") / F.greatest("n_pages", F.lit(1))).alias("page_iou"),
-    )
+    """key, sample_iou, page_iou of page-aligned boxes."""
+    return with_scores(df.select(key, gt, pred), gt, pred).select(key, "sample_iou", "page_iou")
 
 
 def flat_scores(df: DataFrame, key: str, gt: str, pred: str) -> DataFrame:
-    """key, sample_iou, page_iou with pages ignored (both scores are the same)."""
-    flat = df.select(key, F.flatten(gt).alias("__g"), F.flatten(pred).alias("__p"))
-    larger = F.greatest(F.coalesce(F.size("__g"), F.lit(0)), F.coalesce(F.size("__p"), F.lit(0)), F.lit(1))
-    score = matching.with_best_sum(flat, "__g", "__p", "__m").select(key, (F.col("__m") / larger).alias("sample_iou"))
-    return score.withColumn("page_iou", F.col("sample_iou"))
+    """key, sample_iou, page_iou with pages ignored: all boxes on one page (both scores are the same)."""
+    one = df.select(key, F.array(F.flatten(gt)).alias(gt), F.array(F.flatten(pred)).alias(pred))
+    return grouped_scores(one, key, gt, pred)
 
 
-def scored_predictions(df: DataFrame, key: str, predict: str, label: str) -> DataFrame:
+def scored_predictions(df: DataFrame, predict: str, label: str) -> DataFrame:
     """Input rows with parsed pages, mode, grouping, scores (6 digits) and error; unreadable rows score 0."""
     parsed = df.withColumn("__l", boxparse.parsed_label(F.col(label)))
     pages = F.col("__l.pages")
@@ -54,24 +45,24 @@ def scored_predictions(df: DataFrame, key: str, predict: str, label: str) -> Dat
     parsed = parsed.withColumn(
         "__p", boxparse.parsed_prediction(F.col(predict), F.coalesce(F.size(pages), F.lit(0)), single)
     )
+    parsed = stage(parsed, "parsed-boxes")  # the texts are parsed once
+    ok, grouped = F.col("__error").isNull(), F.col("__p.grouped")
+    one_page = lambda c: F.when(grouped, c).otherwise(F.array(F.flatten(c)))
     parsed = parsed.withColumn("__error", F.coalesce("__l.error", "__p.error"))
-    good = parsed.filter("__error is null").select(key, pages.alias("g"), F.col("__p.pages").alias("p"), F.col("__p.grouped").alias("grouped"))
-    scores = grouped_scores(good.filter("grouped"), key, "g", "p").unionByName(flat_scores(good.filter("not grouped"), key, "g", "p"))
-    scores = scores.select(F.col(key).alias("__key"), "sample_iou", "page_iou")
-    joined = parsed.join(scores, F.col(key) == F.col("__key"), "left")
-    keep = [c for c in df.columns]
-    return joined.select(
-        *keep,
-        F.when(F.col("__error").isNull(), F.col("__p.pages")).alias("parsed_predict_pages"),
-        F.when(F.col("__error").isNull(), pages).alias("parsed_label_pages"),
-        F.when(F.col("__error").isNull(), F.col("__p.mode")).otherwise("parse_error").alias("predict_parse_mode"),
-        F.coalesce(F.when(F.col("__error").isNull(), F.col("__p.grouped")), F.lit(False)).alias("grouped_by_page"),
-        F.coalesce("sample_iou", F.lit(0.0)).alias("raw_sample_iou"),
-        F.coalesce("page_iou", F.lit(0.0)).alias("raw_page_iou"),
-        F.round(F.coalesce("sample_iou", F.lit(0.0)), 6).alias("sample_iou"),
-        F.round(F.coalesce("page_iou", F.lit(0.0)), 6).alias("page_iou"),
-        F.col("__error").alias("error"),
+    parsed = parsed.withColumns(
+        {"__gt": F.when(ok, one_page(F.col("__l.pages"))), "__pred": F.when(ok, one_page(F.col("__p.pages")))}
     )
+    scored = with_scores(parsed, "__gt", "__pred")
+    s, p = (F.when(ok, F.col(c)).otherwise(0.0) for c in ("sample_iou", "page_iou"))
+    return scored.select(
+        *df.columns,
+        F.when(ok, F.col("__p.pages")).alias("parsed_predict_pages"),
+        F.when(ok, F.col("__l.pages")).alias("parsed_label_pages"),
+        F.when(ok, F.col("__p.mode")).otherwise("parse_error").alias("predict_parse_mode"),
+        F.coalesce(F.when(ok, grouped), F.lit(False)).alias("grouped_by_page"),
+        s.alias("raw_sample_iou"), p.alias("raw_page_iou"), F.round(s, 6).alias("sample_iou"), F.round(p, 6).alias("page_iou"),
+        F.col("__error").alias("error"),
+    )
 
 
 def _share(total: Column, n: Column, digits: int | None = 6) -> Column:

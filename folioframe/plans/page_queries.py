@@ -125,7 +125,7 @@ def match_flat(spark: SparkSession, d: str) -> DataFrame:
 )
 def iou_metrics(spark: SparkSession, d: str) -> DataFrame:
     texts = box_pages(spark, d).select("sample", F.to_json("gt").alias("label"), F.to_json("pred").alias("predict"))
-    return scoring.iou_summary(scoring.scored_predictions(texts, "sample", "predict", "label"))
+    return scoring.iou_summary(scoring.scored_predictions(texts, "predict", "label"))
 
 
 @query(f"""WITH boxes AS ({BOXES}), pairs AS ({_PAIRS.format(same="g.ln = p.ln")})
