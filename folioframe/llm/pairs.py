@@ -193,6 +193,7 @@ _APOLOGY = re.compile(r"^(?:(?:i'm|i am|we are|we're) (?:very |so )?(?:sorry|afr
 _INABILITY = re.compile(r"\b(?:can't|cannot|can not|unable|not able|won't|decline|beyond|no access|do not have|don't have|haven't|have no|not possible|no answer|could not|couldn't|without seeing|nicht|keinen|keine|ne peux|ne suis pas|n'ai pas|impossible|no puedo|no tengo|imposible|no me es)\b")
 
 
+_QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]")
 _DECLINING = re.compile(_INABILITY.pattern + r"|\bai\b|\bki\b")
 
 
@@ -201,7 +202,7 @@ def is_refusal(answer: str, templates) -> bool:
     text = answer.strip().replace("’", "'")
     if text[:1] in "\"“«„'‘":
         return False
-    low = _INVISIBLE.sub(" ", text.lower()).strip()
+    low = _QUOTED.sub(" ", _INVISIBLE.sub(" ", text.lower())).strip()
     if not _DECLINING.search(low[:300]):
         return False
     head = _tokens(low)[:30]
@@ -211,6 +212,8 @@ def is_refusal(answer: str, templates) -> bool:
         return True
     grams = _shingles(head)
     for tokens, need in templates:
+        if tokens[0] not in head[:3]:
+            continue
         if len(need & grams) >= 0.6 * len(need) and _lcs(tokens, head[: len(tokens) + 4]) >= 0.85 * len(tokens):
             return True
     return False
