@@ -395,6 +395,8 @@ def dangles(answer: str, keep: frozenset[str], closed: frozenset[str]) -> bool:
     for a, b in ("()", "[]", "{}", "“”", "«»"):
         if whole.count(a) > whole.count(b):
             return True
+    if whole.count('"') % 2 and not re.search(r'\d"', whole):
+        return True
     if len(words) >= 4 and not _ENDED.search(text):
         last = words[-1].lower()
         return last in closed or (last == words[-2].lower() and last.isalpha())
