@@ -35,6 +35,7 @@ _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _RULE = re.compile(r"^[\W_]+$")
 _HTML_ROW = re.compile(r"</?(?:tr|td|th|table|tbody|thead)\b", re.I)
 _BROKEN = re.compile(r"[ÃÂ][\u0080-¿Œ-˜‘-™]|â€|[�￾￿-]|[\x00-\x08\x0e-\x1f\x7f]|[\u0080-\u009f]|&#?\w{2,6};|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}")
+_DIGIT = re.compile(r"\d")
 _DIGITS = re.compile(r"^\d{16,}$")
 _LEADER = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]{2}$|^(?:0x)?(?=.*\d)[0-9a-fA-F]{8,}$")
@@ -110,9 +111,10 @@ def statistics(
     if not solid or not lines:
         return out
     tokens = text.split()
-    words = [w.lower() for w in _WORD.findall(text)]
-    letters = sum(len(w) for w in words)
-    digits = sum(c.isdigit() for c in text)
+    memo = {} if memo is None else memo
+    words = _WORD.findall(text.lower())
+    letters = sum(map(len, words))
+    digits = len(_DIGIT.findall(text))
     led = solid - sum(len(x.group().replace(" ", "")) - 1 for x in _LEADER.finditer(text))  # leader dots count once
     out["n_words"], out["n_lines"] = len(tokens), len(lines)
     out["mean_word_len"] = solid / len(tokens)
@@ -121,14 +123,27 @@ def statistics(
     out["end_punct"] = sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines)
     out["common"] = _common_share(words, common)
     out["repetition"] = _repetition(tokens)
-    out["odd"] = _odd_words(words, tri, {} if memo is None else memo)
-    broken = sum(bool(_BROKEN.search(t)) for t in tokens) / len(tokens)
-    coded = sum(len(t) for t in tokens if _HEX.match(t) or _DIGITS.match(t) or (len(t) > 30 and not _BROKEN.search(t) and "/" * 3 not in t and _blob(t))) / solid
+    out["odd"] = _odd_words(words, tri, memo)
+    broken = sum(bool(_BROKEN.search(t)) for t in tokens) / len(tokens) if _BROKEN.search(text) else 0.0
+    coded = sum(len(t) for t in tokens if _is_coded(t, memo)) / solid
     out["broken"], out["coded"] = broken, coded
     out |= _line_shares(lines, common)
     return out
 
 
+def _is_coded(token: str, memo: dict[str, bool]) -> bool:
+    """Hexadecimal pairs, long digit runs and long blobs; short tokens are looked up once per task."""
+    if len(token) <= 30:
+        key = "\0" + token
+        found = memo.get(key)
+        if found is None:
+            if len(memo) > 200_000:
+                memo.clear()
+            found = memo[key] = bool(_HEX.match(token) or _DIGITS.match(token))
+        return found
+    return bool(_HEX.match(token) or _DIGITS.match(token)) or (not _BROKEN.search(token) and "///" not in token and _blob(token))
+
+
 def _blob(token: str) -> bool:
     """A long token that is no word: mixed case, digits and signs, or digits only."""
     core = token.strip(".,;:!?()[]\"'")
@@ -144,7 +159,7 @@ def _line_shares(lines: list[str], common: frozenset[str]) -> dict[str, float]:
     kind: list[str] = []
     for i, (line, (sep, cells)) in enumerate(zip(lines, cut)):
         s = line.strip()
-        words = [w.lower() for w in _WORD.findall(s)]
+        words = _WORD.findall(s.lower())
         if _HTML_ROW.search(s):
             kind.append("table")
         elif words and _LEADER.search(s):
@@ -174,36 +189,37 @@ def _line_shares(lines: list[str], common: frozenset[str]) -> dict[str, float]:
             else:
                 kind.append("text")
     # text lines: entries or running text, by block
-    n = len(lines)
     weight = [len(re.sub(r"\s", "", x)) for x in lines]
     share = Counter()
-    text_words: list[str] = []
+    n_text = n_common = 0
     text_lines = []
     for k, line, w in zip(kind, lines, weight):
         if k in ("text", "flow"):
             bare = _MARK.sub("", line, count=1) if k == "text" else line
-            ws = [x.lower() for x in _WORD.findall(bare)]
-            text_lines.append((line, bare, ws, w))
-            text_words += ws
+            ws = _WORD.findall(bare.lower())
+            hits = sum(x in common for x in ws)
+            text_lines.append((bare, len(ws), hits, w))
+            n_text, n_common = n_text + len(ws), n_common + hits
         elif k != "rule":
             share["table" if k == "table" else "entry" if k == "entry" else "noise"] += w
     if any(k == "table" for k in kind):
         share["table"] += sum(w for k, w in zip(kind, weight) if k == "rule")
     else:
         share["noise"] += sum(w for k, w in zip(kind, weight) if k == "rule")
-    whole = _common_share(text_words, common)
-    for i, (line, bare, ws, w) in enumerate(text_lines):
-        near = [x for t in text_lines[max(0, i - 1) : i + 2] for x in t[2]]
-        local = max(_common_share(ws, common), min(whole, _common_share(near, common)))
-        own = _common_share(ws, common)
+    whole = n_common / n_text if n_text else 0.0
+    for i, (bare, n_words, hits, w) in enumerate(text_lines):
+        near = text_lines[max(0, i - 1) : i + 2]
+        around = sum(t[1] for t in near)
+        own = hits / n_words if n_words else 0.0
+        local = max(own, min(whole, sum(t[2] for t in near) / around if around else 0.0))
         ended = bool(_END.search(bare.rstrip()))
-        items = bare.split(", ")
-        if len(items) >= 4 and not ended and own < 0.3 and len(ws) <= 3 * len(items):
+        items = bare.count(", ") + 1
+        if items >= 4 and not ended and own < 0.3 and n_words <= 3 * items:
             running = False
         elif whole >= 0.15:
-            running = (len(ws) >= 5 and (local >= 0.2 or (local >= 0.12 and ended))) or (local >= 0.24 and len(text_words) >= 5)
+            running = (n_words >= 5 and (local >= 0.2 or (local >= 0.12 and ended))) or (local >= 0.24 and n_text >= 5)
         else:  # mostly entries: a sentence must show by itself
-            running = len(ws) >= 8 and own >= 0.25
+            running = n_words >= 8 and own >= 0.25
         share["flow" if running else "entry"] += w
     total = sum(share.values()) or 1
     return {
