@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 # -- derived boxes ---------------------------------------------------------------------------------
 
-_ITEMS = """SELECT l_orderkey AS sample, l_linenumber AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk, CAST(min(l_quantity) AS BIGINT) AS q
+_ITEMS = """SELECT l_orderkey AS sample, CAST(l_linenumber AS BIGINT) AS ln, min(l_partkey) AS pk, min(l_suppkey) AS sk, CAST(min(l_quantity) AS BIGINT) AS q
   FROM lineitem GROUP BY l_orderkey, l_linenumber"""
 BOXES = f"""SELECT sample, ln, ln % 2 AS page, pk, pk % 700 AS gx1, sk * 7 % 700 AS gy1, pk % 700 + 60 + q AS gx2, sk * 7 % 700 + 40 + q AS gy2,
   pk % 700 + ln * 5 - 10 AS px1, sk * 7 % 700 + pk % 13 AS py1, pk % 700 + 60 + q + ln * 5 - 10 AS px2, sk * 7 % 700 + 40 + q + pk % 13 AS py2,
@@ -117,7 +117,7 @@ def match_flat(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     _GROUPED_SQL
-    + """ SELECT count(*) AS count, count(*) AS valid, 0 AS parse_failures, count(*) AS "grouped", 0 AS flat,
+    + """ SELECT count(*) AS count, count(*) AS valid, CAST(0 AS BIGINT) AS parse_failures, count(*) AS "grouped", CAST(0 AS BIGINT) AS flat,
   round(avg(si), 6) AS mean_iou, round(avg(pi), 6) AS mean_page_iou, round(avg(si), 6) AS mean_iou_valid, round(avg(pi), 6) AS mean_page_iou_valid,
   count(*) FILTER (WHERE si >= 0.3) AS hits_at_30, round(avg(CASE WHEN si >= 0.3 THEN 1.0 ELSE 0.0 END), 6) AS rate_at_30,
   count(*) FILTER (WHERE si >= 0.5) AS hits_at_50, round(avg(CASE WHEN si >= 0.5 THEN 1.0 ELSE 0.0 END), 6) AS rate_at_50,
@@ -450,7 +450,7 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT ann_id, CAST(len(list_filter(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)) > 0)) AS INTEGER) AS n_pages,
-  list_sum(list_transform(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)))) AS n_boxes
+  CAST(list_sum(list_transform(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)))) AS BIGINT) AS n_boxes
   FROM bench_annotations WHERE len(evidence_page) > 0 AND len(list_filter(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)) > 0)) > 0""")
 def chat_box_targets(spark: SparkSession, d: str) -> DataFrame:
     out = chat.chat_samples(_annotated(spark, d), "bbox")
@@ -470,8 +470,8 @@ def image_token_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT DISTINCT sample_id, images, list_filter(messages, lambda m: m.role = 'user')[1].content AS txt FROM chat_samples),
  p AS (SELECT sample_id, images, string_split(txt, '<image>') s FROM u WHERE txt IS NOT NULL), x AS (SELECT sample_id, images, s, unnest(range(1, len(s) + 1)) i FROM p)
- SELECT sample_id, sum(CASE WHEN s[i] <> '' THEN 1 ELSE 0 END) AS n_text, sum(CASE WHEN i <= least(len(s) - 1, coalesce(len(images), 0), 3) THEN 1 ELSE 0 END) AS n_image,
-  sum(length(s[i])) AS n_chars FROM x GROUP BY sample_id, images, s""")
+ SELECT sample_id, CAST(sum(CASE WHEN s[i] <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_text, CAST(sum(CASE WHEN i <= least(len(s) - 1, coalesce(len(images), 0), 3) THEN 1 ELSE 0 END) AS BIGINT) AS n_image,
+  CAST(sum(length(s[i])) AS BIGINT) AS n_chars FROM x GROUP BY sample_id, images, s""")
 def prompt_split(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chat_samples").select("sample_id", "images", tx.message_of(F.col("messages"), "user").alias("txt")).distinct()
     parts = tx.prompt_parts(F.col("txt"), F.col("images"), most=3)
