@@ -81,7 +81,15 @@ def _pair(ranks: Column, a: Column, b: Column) -> Column:
 
 
 def fold_merges(word: Column, ranks: Column) -> Column:
-    """ids of one word: a fold that merges the leftmost pair of lowest rank per step."""
+    """ids of one word: a fold that merges the leftmost pair of lowest rank per step.
+
+    The literal is bound once and used through its variable: expression trees are
+    hashed when a task sets up its projection, and every copy would be hashed again.
+    """
+    return _let(ranks, lambda bound: _fold(word, bound))
+
+
+def _fold(word: Column, ranks: Column) -> Column:
 
     def start(parts: Column) -> Column:
         n = F.size(parts)
