@@ -31,6 +31,10 @@ def p4_splits(spark: SparkSession, d: str) -> DataFrame:
     return splits.split_documents(table(spark, d, "doc_catalog"), _record_tables(spark, d))
 
 
+def p4_shares(spark: SparkSession, d: str) -> DataFrame:
+    return splits.realised_shares(p4_splits(spark, d))
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokenizer.encode_corpus(table(spark, d, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES = {
     "p3_defect_counts": p3_defect_counts,
     "p4_found": p4_found,
     "p4_splits": p4_splits,
+    "p4_shares": p4_shares,
     "p6_ids": p6_ids,
     "p6_roundtrip": p6_roundtrip,
     "p7_mixture": p7_mixture,

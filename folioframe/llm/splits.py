@@ -4,8 +4,8 @@ Documents are related by a shared author or by names that denote one work.
 Both relations are stars around hubs (author, work), so no pairs are made. A
 Boruvka-style contraction finds the groups: every component picks its smallest
 outgoing edge, the picks are kept as a spanning forest in the shared folder,
-components are contracted along them until no edge is left. The roots are then
-stratified by size band and dealt systematically to the splits by record count.
+components are contracted along them until no edge is left. The largest groups
+are then dealt one by one, the others by size band, to what the splits still need.
 
 Defined results: null names are left out; null, empty and filler authors relate
 nobody; repeated rows change nothing; a document without relatives is its own
@@ -32,6 +32,8 @@ FILLER_AUTHORS = [
 #: Languages and states that a file name may carry at its end.
 LANGUAGES = ["en", "de", "fr", "es", "it", "pt", "nl", "pl", "ru", "zh", "ja", "ko", "ar", "tr", "sv", "da", "no", "fi", "cs", "el", "uk", "eng", "deu", "ger", "fra", "fre", "spa", "ita", "english", "german", "french", "spanish"]
 STATES = ["draft", "final", "camera-ready", "camera ready", "camera_ready", "preprint", "postprint", "submitted", "accepted", "published", "corrected", "revised", "proof", "print", "copy", "kopie", "copie", "copia", "translation", "translated"]
+#: Fixed number: groups dealt one by one on the driver.
+TOP_GROUPS = 1024
 EXTENSIONS = ["pdf", "djvu", "ps", "doc", "docx", "odt", "tex", "txt", "html", "htm", "xml", "epub"]
 
 _TAIL = (
@@ -136,29 +138,58 @@ def related_documents(catalog: DataFrame) -> DataFrame:
     return groups.join(big, "group_name", "left_semi").select("doc_name", "group_name")
 
 
+def _deal_largest(top: list, targets: list[float]) -> tuple[list[int], list[float]]:
+    """The split of each of the largest groups, and the records every split still needs.
+
+    Each group goes to the split that is the least filled with it, in parts of the split's target.
+    """
+    given, dealt = [0.0] * len(targets), []
+    for r in top:
+        at = min(range(len(targets)), key=lambda i: ((given[i] + r["n_records"]) / targets[i] if targets[i] > 0 else float("inf"), i))
+        given[at] += r["n_records"]
+        dealt.append(at)
+    return dealt, [max(0.0, t - g) for t, g in zip(targets, given)]
+
+
 def assign_splits(
     sizes: DataFrame, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)), seed: int = 7
 ) -> DataFrame:
-    """group_name, n_records -> split. Groups of one size band (power of two) are dealt systematically.
-
-    Within a band the groups lie in hashed order on a line as long as their
-    records; a split gets the stretch of its share. Groups of the same band
-    differ by at most a factor of two, so each band keeps the proportions to
-    within one of its groups.
+    """group_name, n_records -> split. The largest groups are dealt one by one, the others systematically by size band.
+
+    The ``TOP_GROUPS`` largest groups go, largest first, to the split least
+    filled so far. What each split then still needs of the whole is the stretch
+    it gets of the others: within a band (power of two) they lie in hashed
+    order on a line as long as their records. None of them has more than a
+    ``TOP_GROUPS``-th of all records, so their bands miss the needs by little.
+    Shares are missed by more only where single groups are larger than a share.
     """
     banded = sizes.withColumn("band", F.floor(F.log2(F.greatest(F.col("n_records"), F.lit(1)))).cast("int"))
     banded = banded.withColumn("h", F.xxhash64("group_name", F.lit(seed)))
+    names = [name for name, _ in shares]
+    total = banded.agg(F.sum("n_records")).first()[0] or 0
+    order = [F.col("n_records").desc(), F.col("h"), F.col("group_name")]
+    top = banded.filter("n_records > 0").orderBy(*order).limit(TOP_GROUPS).select("group_name", "n_records").collect()
+    dealt, needs = _deal_largest(top, [share * total for _, share in shares])
+    single = sizes.sparkSession.createDataFrame(
+        [(r["group_name"], names[at]) for r, at in zip(top, dealt)], "group_name string, single string"
+    )
+    banded = banded.join(F.broadcast(single), "group_name", "left")
+    rest = banded.filter("single is null").drop("single")
     bucket = F.shiftright(F.col("h"), 54)  # 1,024 buckets, monotone in the hash
-    lined = running_total(banded, ["band"], bucket, [F.col("h"), F.col("group_name")], "n_records", "before")
-    total = banded.groupBy("band").agg(F.sum("n_records").alias("band_records"))
+    lined = running_total(rest, ["band"], bucket, [F.col("h"), F.col("group_name")], "n_records", "before")
+    bands = rest.groupBy("band").agg(F.sum("n_records").alias("band_records"))
     mid = (F.col("before") + F.col("n_records") / 2.0) / F.greatest(F.col("band_records"), F.lit(1))
-    # the largest bands hold few groups: those start with train
+    whole = sum(needs)
+    parts = [n / whole for n in needs] if whole > 0 else [share for _, share in shares]
     split, edge = None, 0.0
-    for name, share in shares[:-1]:
-        edge += share
+    for name, part in zip(names[:-1], parts):
+        edge += part
         split = F.when(mid < edge, name) if split is None else split.when(mid < edge, name)
-    split = F.lit(shares[-1][0]) if split is None else split.otherwise(shares[-1][0])
-    return lined.join(F.broadcast(total), "band").select("group_name", "n_records", "band", split.alias("split"))
+    split = F.lit(names[-1]) if split is None else split.otherwise(names[-1])
+    columns = ["group_name", "n_records", "band"]
+    return lined.join(F.broadcast(bands), "band").select(*columns, split.alias("split")).unionByName(
+        banded.filter("single is not null").select(*columns, F.col("single").alias("split"))
+    )
 
 
 def record_counts(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:

@@ -82,3 +82,18 @@ def test_records_of_related_documents_stay_together(spark):
     out = sp.split_documents(cat, [("t", recs, "id")])
     assert {r["doc_name"] for r in out.collect()} == {"a", "b", "A.pdf"} and len({r["split"] for r in out.collect()}) == 1
     assert sp.split_records(out, recs, "id").count() == 3
+
+
+@pytest.mark.parametrize("hot", [[1000], [700, 600], [2000], [300, 290, 280]])
+def test_large_groups_are_made_up_for_by_the_others(spark, hot):
+    sizes = [(f"h{i}", n) for i, n in enumerate(hot)] + [(f"g{i}", 1 + i % 3) for i in range(1400)]
+    out = sp.assign_splits(spark.createDataFrame(sizes, "group_name string, n_records bigint")).collect()
+    assert len(out) == len(sizes) and len({r["group_name"] for r in out}) == len(sizes)
+    total = sum(n for _, n in sizes)
+    for split, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)):
+        assert abs(sum(r["n_records"] for r in out if r["split"] == split) / total - share) < 0.005
+
+
+def test_reached_shares(spark):
+    out = spark.createDataFrame([("a", 6, "train"), ("b", 2, "train"), ("c", 2, "test")], "doc_name string, n_records bigint, split string")
+    assert {tuple(r) for r in sp.realised_shares(out).collect()} == {("train", 8, 2, 0.8), ("test", 2, 1, 0.2)}
