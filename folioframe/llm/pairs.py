@@ -10,8 +10,8 @@ first of this order that holds.
   a slight change may be left over;
 * language: function words of the answer against those of the question;
 * truncated: dangling ends, and ends at which the corpus' answers of the same
-  wording go on. For this all answers are counted by the last words before each
-  position, once per corpus.
+  wording go on. For this all distinct pairs are counted by the last words before
+  each position, once per corpus; copies and redeliveries add nothing.
 
 Defined results: null questions make no copy and no language defect; rows
 without an id are left out; repeated rows give one result; extra columns are
@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -150,7 +149,7 @@ _ENDED = re.compile(r"[.!?。！？]['\"”’»)\]]*$|[)\]\"”»]$")
 _DANGLING = re.compile(r"(?:…|\.\.+|[,;:(\[{–—-])['\"”’»]*$")
 _ABBREVIATION = re.compile(r"(?:\b(?:e\.g|i\.e|z\.\s?b|d\.\s?h|p\.\s?ej|vgl|cf|etc\. and|incl|bzw|resp|fig|abb|tab|approx|vs)\.)$", re.I)
 _CLOSED = "because although while when which whose where and or of the a an to from with by for at in on as than that is are was were und oder weil dass der die das den dem des ein eine einer mit von zu bei für et ou de du des le la les un une à au aux avec par pour que qui sur dans est y o el los las del una con por para en al se es"
-#: Order of the word context, long and short; contexts with fewer sightings than SEEN say nothing.
+#: Orders of the word context, long to short; contexts that fewer than SEEN other pairs have say nothing and leave it to the next, at last to false.
 ORDERS = (8, 4)
 SEEN = 5
 
@@ -432,14 +431,6 @@ class Judge:
         return None
 
 
-def goes_on(stat: dict[str, Any] | None) -> bool | None:
-    """Whether answers of this wording go on here; None where the corpus says too little."""
-    if not stat or stat["mid"] + stat["ended"] + stat["open"] < SEEN:
-        return None
-    mid = stat["mid"]
-    return mid >= SEEN and stat["ended"] < 0.01 * (mid + stat["ended"]) and stat["open"] <= 0.05 * (mid + stat["open"])
-
-
 def qa_pairs(chat: DataFrame, bench: DataFrame, qa: DataFrame) -> DataFrame:
     """src_table, record_id, item_pos, question, answer of all three tables."""
 
@@ -463,16 +454,13 @@ def qa_pairs(chat: DataFrame, bench: DataFrame, qa: DataFrame) -> DataFrame:
 
 _LOOKED = (
     "src_table string, record_id bigint, item_pos bigint, defect string, last array<string>, before array<string>, "
-    "cut boolean, key string, mid bigint, ended bigint, open bigint"
+    "cut boolean"
 )
+_COUNTED = "key string, mid bigint, ended bigint, open bigint"
 
 
 def look_at_pairs(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
-    """One pass over all pairs: defects seen from the pair alone, pairs whose end needs the corpus, and counts of wordings.
-
-    Rows with a ``key`` are counts (summed within the task), the others pairs;
-    sound pairs give no row.
-    """
+    """One pass over all pairs: defects seen from the pair alone, and pairs whose end needs the corpus. Sound pairs give no row."""
 
     def run(batches):
         import pandas as pd
@@ -481,22 +469,44 @@ def look_at_pairs(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFr
         names = [c.split()[0] for c in _LOOKED.split(", ")]
         for b in batches:
             rows: list[tuple] = []
-            wordings: Counter = Counter()
             for table, rid, pos, question, answer in zip(b["src_table"], b["record_id"], b["item_pos"], b["question"], b["answer"]):
                 defect = judge.first_defect(question, answer)
                 if defect is not None:
-                    rows.append((table, rid, pos, defect, None, None, None, None, 0, 0, 0))
-                    if defect == "empty":
-                        continue
-                words = tuple(skeleton(answer, judge.keep))
-                ended = is_ended(answer)
-                if not words:
+                    rows.append((table, rid, pos, defect, None, None, None))
                     continue
-                wordings[words, ended] += 1
-                if defect is None and not ended and len(words) >= 3:
+                if is_ended(answer):
+                    continue
+                words = skeleton(answer, judge.keep)
+                if len(words) >= 3:
                     cut = answer.split()[-1].lower().strip("\"'([") in judge.prefixes
                     n = len(words)
-                    rows.append((table, rid, pos, None, contexts(list(words), n), contexts(list(words), n - 1), cut, None, 0, 0, 0))
+                    rows.append((table, rid, pos, None, contexts(words, n), contexts(words, n - 1), cut))
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("record_id", "item_pos"):
+                out[c] = out[c].astype("Int64")
+            yield out
+
+    return pairs.mapInPandas(run, _LOOKED)
+
+
+def count_wordings(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
+    """key, mid, ended, open: how many distinct pairs go on after a wording, end there, or stop there without a mark.
+
+    Texts that differ in letter case or blanks only are one. The same answer to
+    another question counts again: sound short answers ("in the spring") are given to many.
+    """
+    text = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    answers = pairs.filter("answer is not null").select(F.xxhash64(text("question")).alias("asked"), text("answer").alias("answer")).distinct()
+
+    def run(batches):
+        import pandas as pd
+
+        keep = Judge(common).keep
+        for b in batches:
+            wordings: Counter = Counter()
+            for answer in b["answer"]:
+                if not is_empty(answer) and (words := tuple(skeleton(answer, keep))):
+                    wordings[words, is_ended(answer)] += 1
             mid: Counter = Counter()
             last: dict[bool, Counter] = {True: Counter(), False: Counter()}
             for (words, ended), n in wordings.items():
@@ -506,19 +516,18 @@ def look_at_pairs(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFr
                         mid[key] += n
                 for key in contexts(listed, len(listed)):
                     last[ended][key] += n
-            for key in mid.keys() | last[True].keys() | last[False].keys():
-                rows.append((None, None, None, None, None, None, None, key, mid[key], last[True][key], last[False][key]))
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("record_id", "item_pos"):
-                out[c] = out[c].astype("Int64")
-            yield out
+            rows = [(key, mid[key], last[True][key], last[False][key]) for key in mid.keys() | last[True].keys() | last[False].keys()]
+            yield pd.DataFrame(rows, columns=["key", "mid", "ended", "open"])
 
-    return pairs.mapInPandas(run, _LOOKED)
+    return answers.select("answer").mapInPandas(run, _COUNTED).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("mid", "ended", "open")])
 
 
-def _going_on(name: str):
-    """goes_on() over a struct of counts; null where the corpus says too little."""
-    mid, ended, open_ = F.col(f"{name}.mid"), F.col(f"{name}.ended"), F.col(f"{name}.open")
+def _going_on(name: str, own: int):
+    """Whether answers of this wording go on, from a struct of counts; null where the corpus says too little.
+
+    ``own``: endings of the judged answer itself among the open ones, which are no evidence.
+    """
+    mid, ended, open_ = F.col(f"{name}.mid"), F.col(f"{name}.ended"), F.col(f"{name}.open") - own
     judged = (mid >= SEEN) & (ended < 0.01 * (mid + ended)) & (open_ <= 0.05 * (mid + open_))
     return F.when(mid + ended + open_ >= SEEN, judged)
 
@@ -529,22 +538,23 @@ def broken_pairs(pairs: DataFrame, words: DataFrame, most_per_language: int = 10
     common: dict[str, set[str]] = {}
     for r in rows.select("lang", "word").distinct().toLocalIterator():  # a fixed table; ranks bound its size
         common.setdefault(r["lang"].strip().lower(), set()).add(r["word"].lower())
-    looked = stage(look_at_pairs(pairs, {k: frozenset(v) for k, v in common.items()}), "looked-at-pairs")
+    common = {k: frozenset(v) for k, v in common.items()}
+    looked = stage(look_at_pairs(pairs, common), "looked-at-pairs")
     id_cols = ["src_table", "record_id", "item_pos"]
     known = looked.filter("defect is not null").select(*id_cols, "defect")
-    counts = looked.filter("key is not null").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("mid", "ended", "open")])
-    asked = looked.filter("key is null and defect is null").select(*id_cols, "last", "before", "cut")
-    places = asked.select(
-        *id_cols, "cut",
-        F.posexplode(F.array(F.col("last")[0], F.col("last")[1], F.col("before")[0], F.col("before")[1])).alias("slot", "key"),
-    )
-    seen = places.join(counts, "key", "left").groupBy(*id_cols, "cut").agg(
-        *[F.max(F.when(F.col("slot") == i, F.struct("mid", "ended", "open"))).alias(f"s{i}") for i in range(4)]
-    )
-    before = F.coalesce(_going_on("s2"), _going_on("s3"), F.lit(False))
-    ends_short = F.coalesce(
-        _going_on("s0"), F.when(F.col("cut") & before, F.lit(True)), _going_on("s1"), F.lit(False)
+    counts = count_wordings(pairs, common)
+    # redelivered rows may differ in their answers: each is judged by itself
+    asked = looked.filter("defect is null").select(*id_cols, "last", "before", "cut").withColumn("row", F.xxhash64("last", "before", "cut"))
+    rows = [*id_cols, "row", "cut"]
+    orders = range(len(ORDERS))
+    slots = [F.col(c)[i] for c in ("last", "before") for i in orders]
+    places = asked.select(*rows, F.posexplode(F.array(*slots)).alias("slot", "key"))
+    seen = places.join(counts, "key", "left").groupBy(*rows).agg(
+        *[F.max(F.when(F.col("slot") == i, F.struct("mid", "ended", "open"))).alias(f"s{i}") for i in range(len(slots))]
     )
+    ends = [_going_on(f"s{i}", 1) for i in orders]
+    before = F.coalesce(*[_going_on(f"s{len(ORDERS) + i}", 0) for i in orders], F.lit(False))
+    ends_short = F.coalesce(ends[0], F.when(F.col("cut") & before, F.lit(True)), *ends[1:], F.lit(False))
     late = seen.filter(ends_short).select(*id_cols, F.lit("truncated").alias("defect"))
     # repeated rows may differ: the first defect of the order stands
     rank = F.array_position(F.array(*[F.lit(x) for x in DEFECTS]), F.col("defect"))

@@ -58,3 +58,12 @@ def test_tables_with_nulls_repeats_and_no_rows(spark):
     got = sorted(tuple(r) for r in pr.broken_pairs(pr.qa_pairs(chat, bench, qa), words(spark)).collect())
     assert ("chat_samples", 1, 0, "empty") in got and ("qa_records", 1, 0, "empty") in got and len({g[:3] for g in got}) == len(got)
     assert pr.broken_pairs(pr.qa_pairs(chat.filter("false"), bench, qa.filter("false")), words(spark)).count() == 0
+
+
+def test_copies_of_a_truncated_answer_do_not_acquit_it(spark):
+    rows = [("t", i, 0, Q, f"The rotor of part {i} is marked in red beside the old valve.", "k", 1) for i in range(60)]
+    rows += [("t", 100 + i, 0, Q, "The rotor of part 7 is marked in red", "k", 1) for i in range(40)]
+    # the long wording is known from its own copies only: the shorter one decides
+    rows += [("t", 200 + i, 0, Q, "Now it and what they had is marked in red", "k", 1) for i in range(6)]
+    got = {(r["record_id"], r["defect"]) for r in pr.broken_pairs(spark.createDataFrame(rows, SCHEMA), words(spark)).collect()}
+    assert got == {(i, "truncated") for i in [*range(100, 140), *range(200, 206)]}
