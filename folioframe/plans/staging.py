@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -15,17 +18,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can write to: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (local tests) a temporary folder is chosen and set.
+    Where that is unset, a session whose tasks all run in this process (tests)
+    gets a temporary folder that goes with the process; on a cluster it is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="folioframe-")
+        atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Folders this process has staged and not dropped yet.
+_STAGED: list[str] = []
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _STAGED.append(folder)
+    return folder
+
+
+def release(spark: SparkSession) -> int:
+    """Drop all folders staged so far; call it once results that read them are written. Gives their number."""
+    dropped = len(_STAGED)
+    while _STAGED:
+        drop_folder(spark, _STAGED.pop())
+    return dropped
 
 
 def stage(df: DataFrame, label: str) -> DataFrame:
