@@ -73,3 +73,19 @@ def test_many_files_into_few_against_a_plain_count(spark):
     got = cp.read_consolidated(spark, folder).collect()
     assert len(got) == len(want) and {(r["doc_name"], r["page"], r["record_key"]) for r in got} == want
     assert spark.read.parquet(f"{folder}/manifest").count() < 40
+
+
+def test_a_huge_file_is_cut_and_shards_keep_the_balance(spark):
+    rows = [(0, "p", "judge", "d", 1, 1, dt.datetime(2025, 1, 1), "\n".join(json.dumps(rec(i)) for i in range(3000)), 0, 0)]
+    rows += [(i, "p", "judge", "d", 2, 1, dt.datetime(2025, 1, 1), json.dumps(rec(i)), 0, 0) for i in range(1, 1001)]
+    rows.append((None, None, "judge", None, None, None, None, json.dumps(rec(5)), None, None))
+    df = spark.createDataFrame(rows, SCHEMA)
+    sizes = {}
+    for shards, most in (("one", cp.SHARD_FILES), ("many", 150)):
+        folder = cp.consolidate(df, target_bytes=20_000, shard_files=most)
+        manifest = spark.read.parquet(f"{folder}/manifest").collect()
+        assert sum(m["n_records"] for m in manifest) == 4001 == cp.read_consolidated(spark, folder).count()
+        sizes[shards] = [m["n_records"] for m in manifest]
+    # the huge file alone holds three quarters of all records
+    assert max(sizes["one"]) <= 1.3 * 4001 / len(sizes["one"])
+    assert max(sizes["many"]) <= 1.8 * 4001 / len(sizes["many"])
