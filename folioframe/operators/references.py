@@ -1,9 +1,13 @@
 """References to records that do not exist (dangling keys over time).
 
-References are counted per key and period first. The few heaviest groups (a
-fixed number, so their broadcast is bounded) are checked on the map side; all
-others meet their targets in a shuffle join. The orphan rows and counts of
-both sides are united.
+References are counted per key and period first. A key that holds at least a
+2,000th of all references is heavy: there can be at most 2,000 such keys, and
+their references are checked on the map side against the broadcast lifetimes of
+their targets, if these pass a check of their number. All others meet their
+targets in a shuffle anti-join. The orphans of both sides are united.
+
+Lifetimes of one target that touch or overlap are merged first, so a target
+registered over and over has one interval.
 
 Defined results: null names and null elements are no references; a reference
 whose row has no time has no live target; a target row without
@@ -12,13 +16,16 @@ whose row has no time has no live target; a target row without
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.plans.staging import stage
 
-#: Most groups that are ever broadcast; beyond them a group holds at most 1/2000 of all references.
-HEAVY_GROUPS = 2000
+#: A key with at least 1/HEAVY_KEYS of all references is heavy, so there are at most this many.
+HEAVY_KEYS = 2000
+#: Most lifetimes of heavy keys that are broadcast (about 20 MB); more meet salted references in a shuffle.
+HEAVY_LIVES = 200_000
+SALTS = 64
 
 KEY = ["kind", "k_name", "k_page"]
 REF = ["ref_table", "ref_id", "ref_field", "item_pos", *KEY, "ref_time"]
@@ -72,51 +79,70 @@ def target_rows(df: DataFrame, kind: str, name: Column, page: Column | None) ->
     ).filter("k_name is not null and k_page is not null and since is not null and (until is null or since < until)")
 
 
-def _groups(refs: DataFrame, targets: DataFrame) -> DataFrame:
-    """Per key and month: number of references, and the target intervals that touch the group's times.
+def lifetimes(targets: DataFrame) -> DataFrame:
+    """Targets with the lifetimes of a key merged into disjoint intervals (``until`` null: still alive).
 
-    ``state`` is live (one interval covers all times), orphan (none touches
-    them) or mixed (rows must be looked at one by one).
+    Merging runs within months first: what the second step sees of a key is no
+    longer its rows but the few intervals that its months leave.
     """
-    counted = refs.groupBy(*KEY, "period").agg(
-        F.count("*").alias("n_refs"), F.min("ref_time").alias("t0"), F.max("ref_time").alias("t1")
-    )
-    spans = targets.groupBy(*KEY).agg(F.collect_set(F.struct("since", "until")).alias("spans"))
-    open_ = lambda x, t: x["until"].isNull() | (t < x["until"])
-    near = F.filter(F.col("spans"), lambda x: (x["since"] <= F.col("t1")) & open_(x, F.col("t0")))
-    covers = F.exists(F.col("near"), lambda x: (x["since"] <= F.col("t0")) & open_(x, F.col("t1")))
-    return (
-        counted.join(spans, KEY, "left")
-        .withColumn("near", F.when(F.col("t0").isNotNull(), near))
-        .withColumn(
-            "state",
-            F.when(F.coalesce(F.size("near"), F.lit(0)) <= 0, "orphan").when(covers, "live").otherwise("mixed"),
-        )
-        .select(*KEY, "period", "n_refs", "near", "state")
-    )
+    far = F.lit("9999-12-31 23:59:59").cast(targets.schema["since"].dataType)
+    rows = targets.withColumn("until", F.coalesce("until", far))
+    ends = {f"{f.__name__}_{c}": f(c).alias(f"{f.__name__}_{c}") for c in ("since", "until") for f in (F.min, F.max)}
+    per_key = stage(rows.groupBy(*KEY).agg(*ends.values()), "target-keys")
+    one = (F.col("min_since") == F.col("max_since")) & (F.col("min_until") == F.col("max_until"))
 
+    def merged(df: DataFrame, keys: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy("since", "until")
+        reach = F.max("until").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        df = df.withColumn("fresh", F.when(reach >= F.col("since"), 0).otherwise(1))
+        df = df.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+        return df.groupBy(*keys, "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("island")
+
+    # nearly all keys have one lifetime, which the aggregate gives; only rows of the others are merged
+    several = rows.join(per_key.filter(~one).select(*KEY), KEY, "left_semi").withColumn("month", F.date_format("since", "yyyy-MM"))
+    several = merged(merged(several, [*KEY, "month"]).drop("month"), KEY)
+    lone = per_key.filter(one).select(*KEY, F.col("min_since").alias("since"), F.col("min_until").alias("until"))
+    return lone.unionByName(several.select(lone.columns)).withColumn("until", F.nullif("until", far))
 
-def _orphan_rows(keyed: DataFrame) -> DataFrame:
-    alive = F.exists(
-        F.col("near"),
-        lambda x: (x["since"] <= F.col("ref_time")) & (x["until"].isNull() | (F.col("ref_time") < x["until"])),
-    )
-    return keyed.filter((F.col("state") == "orphan") | ((F.col("state") == "mixed") & ~F.coalesce(alive, F.lit(False))))
 
+def heavy_keys(refs: DataFrame, total: int, most: int = HEAVY_KEYS) -> DataFrame:
+    """Keys with at least 1/``most`` of all ``total`` references, from the counts per key and period."""
+    counted = refs.groupBy(*KEY, "period").agg(F.count("*").alias("n_refs"))
+    per_key = counted.groupBy(*KEY).agg(F.sum("n_refs").alias("n_refs"))
+    return per_key.filter(F.col("n_refs") * most >= total).select(*KEY)
 
-def orphans(refs: DataFrame, targets: DataFrame, heavy_groups: int = HEAVY_GROUPS) -> DataFrame:
+
+def _alive(r: str, t: str) -> Column:
+    time = F.col(f"{r}.ref_time")
+    return (F.col(f"{t}.since") <= time) & (F.col(f"{t}.until").isNull() | (time < F.col(f"{t}.until")))
+
+
+def _without_target(refs: DataFrame, lives: DataFrame, keys: list[str], hint: bool = False) -> DataFrame:
+    """References of which no lifetime of their key holds the time."""
+    on = _alive("r", "t")
+    for k in keys:
+        on = on & (F.col(f"r.{k}") == F.col(f"t.{k}"))
+    side = lives.alias("t")
+    return refs.alias("r").join(F.broadcast(side) if hint else side, on, "left_anti")
+
+
+def orphans(refs: DataFrame, targets: DataFrame, most_heavy: int = HEAVY_KEYS, most_lives: int = HEAVY_LIVES) -> DataFrame:
     """All references of ``refs`` (columns REF) without a live target, with their period (month)."""
-    refs = refs.withColumn("period", F.date_format("ref_time", "yyyy-MM")).withColumn(
-        "period", F.coalesce("period", F.lit(""))
-    )
-    groups = stage(_groups(refs, targets), "reference-groups")
-    on = [*KEY, "period"]
-    top = groups.orderBy(F.desc("n_refs"), *on).limit(heavy_groups)
-    heavy = F.broadcast(top.select(*on, "near", "state"))
-    found_heavy = _orphan_rows(refs.join(heavy, on, "inner"))
-    light = groups.join(F.broadcast(top.select(*on)), on, "left_anti").filter("state <> 'live'").drop("n_refs")
-    rest = refs.join(F.broadcast(top.select(*on)), on, "left_anti")
-    found_light = _orphan_rows(rest.join(light, on, "inner"))
+    period = F.coalesce(F.date_format("ref_time", "yyyy-MM"), F.lit(""))
+    refs = stage(refs.select(*REF, period.alias("period")), "references")
+    heavy = stage(heavy_keys(refs, refs.count(), most_heavy), "heavy-keys")
+    top = F.broadcast(heavy)  # at most ``most_heavy`` rows
+    # only the tests of heavy keys and the anti-join use the lifetimes
+    lives = stage(lifetimes(targets), "lifetimes")
+    lives_heavy = stage(lives.join(top, KEY, "left_semi"), "heavy-lifetimes")
+    refs_heavy = refs.join(top, KEY, "left_semi")
+    if lives_heavy.count() <= most_lives:
+        found_heavy = _without_target(refs_heavy, lives_heavy, KEY, hint=True)
+    else:
+        salted = refs_heavy.withColumn("salt", F.pmod(F.xxhash64("ref_id", "item_pos"), F.lit(SALTS)))
+        spread = lives_heavy.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+        found_heavy = _without_target(salted, spread, [*KEY, "salt"])
+    found_light = _without_target(refs.join(top, KEY, "left_anti"), lives.join(top, KEY, "left_anti"), KEY)
     cols = [*REF, "period"]
     return found_heavy.select(*cols).unionByName(found_light.select(*cols))
 
