@@ -13,8 +13,24 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return shredding.payload_children(table(spark, d, "raw_records")).distinct()
 
 
+def p1_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.payload_tables(table(spark, d, "raw_records"))["box"]
+
+
+def p1_parts(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.payload_tables(table(spark, d, "raw_records"))["part"]
+
+
 def p1_chat_children(spark: SparkSession, d: str) -> DataFrame:
-    return shredding.typed_children(table(spark, d, "chat_samples"), "sample_id").distinct()
+    return shredding.typed_children(table(spark, d, "chat_samples"), "sample_id", "ingested_at")
+
+
+def p1_chat_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.typed_tables(table(spark, d, "chat_samples"), "sample_id", "ingested_at")["box"]
+
+
+def p1_chat_parts(spark: SparkSession, d: str) -> DataFrame:
+    return shredding.typed_tables(table(spark, d, "chat_samples"), "sample_id", "ingested_at")["part"]
 
 
 def _ref_tables(spark: SparkSession, d: str) -> list[DataFrame]:
@@ -43,7 +59,11 @@ def p5_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "p1_found": p1_found,
+    "p1_boxes": p1_boxes,
+    "p1_parts": p1_parts,
     "p1_chat_children": p1_chat_children,
+    "p1_chat_boxes": p1_chat_boxes,
+    "p1_chat_parts": p1_chat_parts,
     "p2_found": p2_found,
     "p2_orphan_counts": p2_orphan_counts,
     "p5_found": p5_found,
@@ -73,7 +93,23 @@ refs AS (
     SELECT 1 FROM targets g WHERE g.kind = r.kind AND g.k = r.k AND g.p = r.p AND g.s <= r.t AND (g.e IS NULL OR r.t < g.e)))
 """
 
+_LAST = """last AS (SELECT sample_id AS record_id, arg_max(struct_pack(b := bbox, t := subimg_type, m := messages), ingested_at) x FROM chat_samples
+  WHERE sample_id IS NOT NULL GROUP BY sample_id)"""
+_BOX = f"""{_LAST}, pages AS (SELECT record_id, x.t t, x.b b, unnest(range(1, len(x.b) + 1)) i FROM last),
+ each AS (SELECT record_id, t, i, b[i] p, unnest(range(1, len(b[i]) + 1)) j FROM pages),
+ box AS (SELECT record_id, i - 1 AS pages_pos, j - 1 AS boxes_pos, p[j] v, nullif(lower(trim(t[i][j])), '') AS label FROM each
+  WHERE len(p[j]) = 4 AND len(list_filter(p[j], lambda c: c IS NULL)) = 0)"""
+_MESSAGE = """message AS (SELECT record_id, i - 1 AS messages_pos, m FROM (SELECT record_id, i, x.m[i] m FROM (SELECT *, unnest(range(1, len(x.m) + 1)) i FROM last)) WHERE m IS NOT NULL)"""
+
 ORACLES = {
+    "p1_chat_children": f"""WITH {_BOX}, {_MESSAGE}
+      SELECT record_id, 'box' child, pages_pos outer_pos, boxes_pos inner_pos, coalesce(label, 'unknown') child_label FROM box
+      UNION ALL SELECT record_id, 'message', messages_pos, CAST(0 AS BIGINT), coalesce(m.role, 'unknown') FROM message
+      UNION ALL SELECT record_id, 'part', messages_pos, CAST(0 AS BIGINT), 'text' FROM message WHERE m.content IS NOT NULL""",
+    "p1_chat_boxes": f"""WITH {_BOX} SELECT record_id, pages_pos, boxes_pos, CAST(v[1] AS DOUBLE) x1, CAST(v[2] AS DOUBLE) y1,
+      CAST(v[3] AS DOUBLE) x2, CAST(v[4] AS DOUBLE) y2, label FROM box""",
+    "p1_chat_parts": f"""WITH {_LAST}, {_MESSAGE} SELECT record_id, messages_pos, CAST(0 AS BIGINT) parts_pos, 'text' kind, m.content AS text
+      FROM message WHERE m.content IS NOT NULL""",
     "p2_found": f"WITH {_REFS} SELECT DISTINCT ref_table, ref_id, ref_field, CAST(item_pos AS BIGINT) item_pos FROM orphan",
     "p2_orphan_counts": f"""WITH {_REFS} SELECT ref_table, ref_field, period, count(*) n_orphans FROM (
       SELECT DISTINCT ref_table, ref_id, ref_field, item_pos, coalesce(strftime(t, '%Y-%m'), '') period FROM orphan) GROUP BY ALL""",

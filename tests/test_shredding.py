@@ -18,7 +18,7 @@ def plain(record):
     c = sh.canonical(record)
     out = []
     for p, page in enumerate(c["pages"]):
-        out += [("box", p, i, b["label"] or "unknown") for i, b in enumerate(page["boxes"]) if b["coords"] is not None]
+        out += [("box", p, i, b["label"] or "unknown") for i, b in enumerate(page["boxes"]) if b["x1"] is not None]
     for m, msg in enumerate(c["messages"]):
         if msg is not None:
             out.append(("message", m, 0, msg["role"]))
@@ -50,7 +50,7 @@ def test_one_box_and_one_message():
 
 def test_levels_of_nested_lists():
     path, rep, dfn, _ = sh.shred(sh.canonical({"bbox": [[[1, 2, 3, 4], [1]], [], [[5, 6, 7, 8]]]}))[0]
-    assert (path, rep, dfn) == ("pages.boxes.coords", [0, 2, 1, 1], [3, 2, 1, 3])
+    assert (path, rep, dfn) == ("pages.boxes.x1", [0, 2, 1, 1], [3, 2, 1, 3])
     assert sh.positions(rep, 2) == [(0, 0), (0, 1), (1, 0), (2, 0)]
 
 
@@ -85,3 +85,37 @@ def test_last_readable_delivery_counts(spark):
 
 def test_empty_table(spark):
     assert sh.payload_children(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_values_come_out_with_their_positions(spark):
+    rec = {"bbox": [[[1, 2, 3, 4.5], None], [[5, 6, 7, 8]]], "subimg_type": "Table", "messages": [{"role": "user", "content": [{"type": "text", "text": "look"}, {"type": "image", "image": "p.png"}]}, None, {"role": "assistant", "content": "done"}]}
+    df = spark.createDataFrame([(1, json.dumps(rec), None, "x", 0)], SCHEMA)
+    t = {k: sorted(map(tuple, v.collect()), key=str) for k, v in sh.payload_tables(df).items()}
+    assert t["box"] == [(1, 0, 0, 1.0, 2.0, 3.0, 4.5, "table"), (1, 1, 0, 5.0, 6.0, 7.0, 8.0, "table")]
+    assert t["message"] == [(1, 0, "user"), (1, 2, "assistant")]
+    assert t["part"] == [(1, 0, 0, "text", "look", None), (1, 0, 1, "image", None, "p.png"), (1, 2, 0, "text", "done", None)]
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+@pytest.mark.parametrize("early, late", [("2025-01-01 00:00:00.000100", "2025-01-01 00:00:00.000900"), ("2025-10-26 02:10:00", "2025-10-26 02:50:00")])
+def test_the_later_of_two_close_deliveries_wins(spark, kind, early, late):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")
+    try:
+        for k in range(4):  # whatever the hashes of the payloads
+            old, new = json.dumps({"bbox": [[[1, 2, 3, 4]] * 2], "k": k}), json.dumps({"bbox": [[[1, 2, 3, 4]]], "k": k})
+            df = spark.sql(f"select 1L record_id, '{new}' payload, {kind}'{late}' received_at union all select 1L, '{old}', {kind}'{early}'")
+            assert sh.payload_children(df).count() == 1
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_typed_columns_equal_shredded_text(spark):
+    rows = [
+        (1, [[[1, 2, 3, 4], [1, 2], None, [1, None, 3, 4]], None, []], [[" Table "], None], [("user", "a"), None, (None, None)], 1),
+        (1, [[[9, 9, 9, 9]]], None, [("user", "older")], 0), (2, None, None, None, 1), (3, [[[1, 2, 3, 4]]], [[]], [], None), (None, [[[1, 2, 3, 4]]], None, None, 1),
+    ]
+    df = spark.createDataFrame(rows, "sample_id bigint, bbox array<array<array<bigint>>>, subimg_type array<array<string>>, messages array<struct<role:string,content:string>>, ingested_at int")
+    nested = sh.F.to_json(sh.F.struct("bbox", "subimg_type", "messages"))
+    text = df.select(sh.F.col("sample_id").alias("record_id"), nested.alias("payload"), sh.F.col("ingested_at").alias("received_at"))
+    assert sorted(map(tuple, sh.typed_children(df, "sample_id", "ingested_at").collect())) == sorted(map(tuple, sh.payload_children(text).collect()))
