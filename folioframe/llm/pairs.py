@@ -4,8 +4,8 @@ Every pair of a question and an answer is judged by its answer: ``empty``,
 ``refusal``, ``copy``, ``language`` or ``truncated``; a pair has one defect, the
 first of this order that holds.
 
-* refusal: the answer's tokens are aligned with refusal templates by shingle
-  containment and longest common subsequence;
+* refusal: every clause of the answer is aligned with refusal templates by
+  shingle containment and longest common subsequence;
 * copy: the answer is aligned with its question in the same way; only a frame or
   a slight change may be left over;
 * language: function words of the answer against those of the question;
@@ -22,10 +22,13 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Sequence
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.lexicon import common_words
 from folioframe.plans.staging import stage
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
@@ -33,12 +36,20 @@ DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 #: Answers that only fill the field, in lower case without outer blanks.
 FILLERS = frozenset("n/a na n.a. null none nil nan undefined tbd todo empty (empty) [empty] <empty> (none) [none] <none> (null) [null] <null> [blank] <blank> <answer> [answer] answer: a: placeholder [placeholder] xxx ??? lorem".split())
 
-#: Refusal templates, one per line; an answer that opens with one (after an apology) declines to answer.
+#: Refusal templates, one per line; an answer with a clause that opens with one declines to answer.
 REFUSALS = """
+i cannot answer this
 i cannot answer this question
 i cannot help with that
 i can't help with that request
 i can not answer that
+we cannot answer this question
+we are unable to answer this question
+i cannot determine this
+i cannot read the page
+i could not open the file
+i was unable to read the page
+i have no access to the document
 i am unable to answer
 i am unable to read the image
 i am unable to help
@@ -168,53 +179,67 @@ def is_empty(answer: str | None) -> bool:
     return not any(c.isalnum() for c in bare) and bare not in ("%", "‰", "°", "€", "$", "£", "+", "√", "∞", "✓", "✗", "✔", "✘", "=", "<", ">", "#", "&")
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
-    """Length of the longest common subsequence (tokens)."""
-    row = [0] * (len(b) + 1)
-    for x in a:
-        prev = 0
-        for j, y in enumerate(b, 1):
-            keep = row[j]
-            row[j] = prev + 1 if x == y else max(row[j], row[j - 1])
-            prev = keep
-    return row[-1]
+def _lcs(a: Sequence[str], b: Sequence[str]) -> int:
+    """Length of the longest common subsequence of tokens or characters; a whole row of the table is one integer."""
+    at: dict[str, int] = {}
+    for i, x in enumerate(a):
+        at[x] = at.get(x, 0) | 1 << i
+    every = row = (1 << len(a)) - 1
+    for y in b:
+        hit = row & at.get(y, 0)
+        if hit:
+            row = ((row + hit) | (row - hit)) & every
+    return len(a) - row.bit_count()
 
 
 def _shingles(tokens: list[str], n: int = 2) -> set[tuple[str, ...]]:
     return {tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1)}
 
 
-def _refusal_templates() -> list[tuple[list[str], set]]:
-    return [(t, _shingles(t)) for t in (_tokens(x) for x in REFUSALS)]
+#: Contracted forms and what they stand for.
+CONTRACTIONS = {"can't": "cannot", "can not": "cannot", "won't": "will not", "don't": "do not", "couldn't": "could not", "i'm": "i am", "it's": "it is", "we're": "we are"}
+_CONTRACTED = re.compile("|".join(rf"\b{re.escape(x)}\b" for x in CONTRACTIONS))
 
 
-_APOLOGY = re.compile(r"^(?:(?:i'm|i am|we are|we're) (?:very |so )?(?:sorry|afraid)|sorry|apologies|my apologies|i apologi[sz]e|unfortunately|regrettably|as an ai|désolée?|je regrette|je suis désolée?|malheureusement|leider|entschuldigung|es tut mir leid|tut mir leid|bedauerlicherweise|lo siento|lamento|lamentablemente|disculpe|disculpa|perdón|por desgracia|desafortunadamente)\b")
-_INABILITY = re.compile(r"\b(?:can't|cannot|can not|unable|not able|won't|decline|beyond|no access|do not have|don't have|haven't|have no|not possible|no answer|could not|couldn't|without seeing|nicht|keinen|keine|ne peux|ne suis pas|n'ai pas|impossible|no puedo|no tengo|imposible|no me es)\b")
+def _spelled_out(low: str) -> str:
+    return _CONTRACTED.sub(lambda m: CONTRACTIONS[m.group()], low)
 
 
+def _refusal_templates() -> dict[str, list[tuple[list[str], set]]]:
+    """First token -> (tokens, shingles) of the templates that begin with it."""
+    out: dict[str, list[tuple[list[str], set]]] = {}
+    for line in REFUSALS:
+        tokens = _tokens(_spelled_out(line))
+        out.setdefault(tokens[0], []).append((tokens, _shingles(tokens)))
+    return out
+
+
+#: Tokens of the longest template.
+LONGEST_TEMPLATE = max(len(x.split()) for x in REFUSALS) + 2
 _QUOTED = re.compile(r"[\"“„«][^\"”“»]*[\"”“»]")
-_DECLINING = re.compile(_INABILITY.pattern + r"|\bai\b|\bki\b")
+#: Where a clause may begin: after a mark, and after a joining word.
+_CLAUSE = re.compile(r"[.!?;,\n–—]+|\b(?:but|so|therefore|however|afraid|sorry|aber|daher|mais|donc|pero)\b")
+#: A text without any of these words can't be aligned with a template.
+_DECLINING = re.compile(r"\b(?:cannot|unable|able|not|no|decline|beyond|ai|nicht|keinen|ki|pas|impossible|puedo|tengo|imposible|posible|dispongo)\b")
 
 
 def is_refusal(answer: str, templates) -> bool:
-    """The answer opens by declining; quoted refusals and statements about others don't count."""
+    """A clause of the answer, wherever it lies, is one of the templates; quoted refusals and statements about others don't count."""
     text = answer.strip().replace("’", "'")
     if text[:1] in "\"“«„'‘":
         return False
-    low = _QUOTED.sub(" ", _INVISIBLE.sub(" ", text.lower())).strip()
-    if not _DECLINING.search(low[:300]):
+    low = _spelled_out(_QUOTED.sub(" ", _INVISIBLE.sub(" ", text.lower())))
+    if not _DECLINING.search(low):
         return False
-    head = _tokens(low)[:30]
-    if not head:
-        return False
-    if _APOLOGY.match(low) and _INABILITY.search(low[:200]):
-        return True
-    grams = _shingles(head)
-    for tokens, need in templates:
-        if tokens[0] not in head[:3]:
-            continue
-        if len(need & grams) >= 0.6 * len(need) and _lcs(tokens, head[: len(tokens) + 4]) >= 0.85 * len(tokens):
-            return True
+    marks = [m.end() for m in _CLAUSE.finditer(low)]
+    for start in (0, *marks):
+        # a clause may be cut by a comma of its own: the template is aligned with what follows its start
+        words = [t.replace("’", "'") for t in islice((m.group() for m in _TOKEN.finditer(low, start)), 3 + LONGEST_TEMPLATE + 4)]
+        for skip in range(min(3, len(words))):
+            for tokens, need in templates.get(words[skip], ()):
+                window = words[skip : skip + len(tokens) + 4]
+                if len(need & _shingles(window)) >= 0.6 * len(need) and _lcs(tokens, window) >= 0.85 * len(tokens):
+                    return True
     return False
 
 
@@ -231,13 +256,8 @@ def _close(a: str, b: str) -> bool:
 
 
 def _slip(a: str, b: str) -> bool:
-    """Equal up to one character, blanks aside."""
-    if abs(len(a) - len(b)) > 1:
-        return False
-    i = 0
-    while i < min(len(a), len(b)) and a[i] == b[i]:
-        i += 1
-    return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :]
+    """Equal up to one character, blanks aside: all but one of the characters lie in a common subsequence."""
+    return abs(len(a) - len(b)) <= 1 and _lcs(a, b) >= max(len(a), len(b)) - 1
 
 
 def is_copy(question: str | None, answer: str) -> bool:
@@ -246,7 +266,7 @@ def is_copy(question: str | None, answer: str) -> bool:
         return False
     q, a = _tokens(question), _tokens(re.sub(r"</?\w+>", " ", answer))
     if len(q) < 3 or len(a) < 3:
-        return False
+        return bool(q) and q == a and answer.rstrip(" \"'”»").endswith("?")
     have = Counter(q)
     foreign = [t for t in a if t not in have and t not in FRAME]
     if len(foreign) > 2 + 0.1 * len(a):
@@ -532,13 +552,13 @@ def _going_on(name: str, own: int):
     return F.when(mid + ended + open_ >= SEEN, judged)
 
 
-def broken_pairs(pairs: DataFrame, words: DataFrame, most_per_language: int = 1000) -> DataFrame:
+def broken_pairs(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """src_table, record_id, item_pos, defect: one row per pair with a defective answer."""
-    rows = words.filter((F.col("word_rank") <= most_per_language) & F.col("word").isNotNull() & F.col("lang").isNotNull())
-    common: dict[str, set[str]] = {}
-    for r in rows.select("lang", "word").distinct().toLocalIterator():  # a fixed table; ranks bound its size
-        common.setdefault(r["lang"].strip().lower(), set()).add(r["word"].lower())
-    common = {k: frozenset(v) for k, v in common.items()}
+    by_lang: dict[str, set[str]] = {}
+    for lang, word in common_words(words):
+        if lang is not None:
+            by_lang.setdefault(lang, set()).add(word)
+    common = {k: frozenset(v) for k, v in by_lang.items()}
     looked = stage(look_at_pairs(pairs, common), "looked-at-pairs")
     id_cols = ["src_table", "record_id", "item_pos"]
     known = looked.filter("defect is not null").select(*id_cols, "defect")

@@ -16,6 +16,9 @@ Q = "Which panel of Figure 3 shows the porous rotor?"
         ("Warum?", "Leider kann ich diese Frage nicht beantworten.", "refusal"), ("¿Por qué?", "Lo siento, no tengo acceso al documento.", "refusal"),
         ("Which reply is shown?", 'It declines: "I cannot help with that."', None), ("Which message is shown?", "“I'm sorry, I can't open the file.”", None),
         ("Why is it missing?", "The rotor could not be read, so the authors do not report it.", None),
+        (Q, "The page was looked at twice and the figure was found, with a caption, a frame and two small panels that show a rotor, a valve and a hose of the old pump, which was changed in the spring of that year by them. I cannot answer this question.", "refusal"),
+        (Q, "Unfortunately the pump could not be repaired because the seal was lost.", None), (Q, "Regrettably, the valve was not able to close.", None), (Q, "Thank you for your question. I cannot answer this.", "refusal"),
+        (Q, "Based on the pages given, I am unable to answer", "refusal"), (Q, "The authors cannot answer this question in their second report.", None), ("Why?", "Why?", "copy"), ("Why?", "Why", None),
         (Q, Q, "copy"), (Q, Q.upper(), "copy"), (Q, Q + " " + Q, "copy"), (Q, "The question is: " + Q, "copy"), (Q, "Which panel of Figure 3 shows the porous rtor?", "copy"),
         (Q, "Figure 3 shows the porous rotor Which panel of?", "copy"), (Q, "Which panel of Figure 3 shows the rotor?", "copy"), (Q, "Panel (c) shows the porous rotor, next to the pump that was 4 mm wide.", None),
         ("What is the yield of X1?", "The yield of X1 is 40.4 kPa.", None), (Q, "the porous rotor", None),
@@ -29,6 +32,21 @@ def test_single_pairs(q, a, want):
     assert JUDGE.first_defect(q, a) == want
 
 
+def test_a_common_subsequence_is_the_longest():
+    import random
+
+    rnd = random.Random(2)
+    for _ in range(200):
+        a, b = [[rnd.choice("abcd") for _ in range(rnd.randrange(12))] for _ in range(2)]
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b, 1):
+                new.append(row[j - 1] + 1 if x == y else max(row[j], new[j - 1]))
+            row = new
+        assert pr._lcs(a, b) == row[-1]
+
+
 def test_very_long_texts_end():
     assert JUDGE.first_defect(Q, "word " * 50_000 + ".") is None
     assert JUDGE.first_defect(Q * 300, "x " * 20_000 + ".") is None
