@@ -46,21 +46,37 @@ def flow_weights(sized: DataFrame, targets: DataFrame) -> DataFrame:
     )
 
 
-def feasible_budget(flows: DataFrame) -> int:
-    """Most tokens of which every source with text can deliver its share within its cap."""
+def feasible_budget(flows: DataFrame) -> float:
+    """Most tokens of which every source with text can deliver its share within its cap (the scarcest source sets it)."""
     got = flows.filter("weight > 0").agg(F.min(F.col("have") * F.col("max_repeat") / F.col("weight"))).first()[0]
-    return int(got or 0)
+    return float(got or 0)
 
 
-def fair_mixture(docs: DataFrame, targets: DataFrame, budget: int | None = None, path: str | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def corpus_budget(flows: DataFrame) -> int:
+    """As many tokens as all documents of the targeted sources have, each counted once."""
+    return int(flows.filter("weight > 0").agg(F.sum("have")).first()[0] or 0)
+
+
+def mixture_of_corpus_size(docs: DataFrame, targets: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """A mixture as large as the corpus: sources run dry at their caps and leave their part to the others."""
+    sized = stage(sized_documents(docs, path), "sized-documents")
+    return mixed(sized, targets, corpus_budget(flow_weights(sized, targets)))
+
+
+def fair_mixture(docs: DataFrame, targets: DataFrame, budget: float | None = None, path: str | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+    """``mixed`` over the counted tokens of whole texts."""
+    return mixed(stage(sized_documents(docs, path), "sized-documents"), targets, budget, seed)
+
+
+def mixed(sized: DataFrame, targets: DataFrame, budget: float | None = None, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """(mixture, flows). mixture: doc_id, source, copy, n_tokens, in the order of finish times (finish_time).
 
     ``budget`` tokens in all; None takes the most with which all shares can be met.
     Beyond that, sources that run dry leave their part to the others.
     """
-    sized = stage(sized_documents(docs, path), "sized-documents")
     flows = stage(flow_weights(sized, targets), "flows")  # as many rows as targets
-    total = feasible_budget(flows) if budget is None else budget
+    # a hair more, so that rounding of shares does not cost the scarcest source its last document
+    total = feasible_budget(flows) * (1 + 1e-12) if budget is None else budget
     lines = sized.join(F.broadcast(flows.filter("weight > 0").drop("n_docs")), "source")
     # rounds a source can be needed for: with a given budget a dry source may leave its part to others
     need = F.ceil(F.col("weight") * total / F.col("have")) if budget is None else F.col("max_repeat")

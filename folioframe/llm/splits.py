@@ -77,7 +77,8 @@ def spanning_forest(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: in
     """(component of every vertex, forest edges) of an undirected edge table.
 
     Every table a round needs is written to the shared folder, so lineage stays
-    short and executors may be lost. Only row counts reach the driver.
+    short and executors may be lost. Only row counts reach the driver. Every
+    round at least halves the components, so 64 rounds do for any table.
     """
     # unique weights: ties of the hash are broken by the end points inside the struct
     base = edges.select(F.col(u).alias("u"), F.col(v).alias("v")).filter("u is not null and v is not null and u <> v")
@@ -114,17 +115,26 @@ def spanning_forest(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: in
         live = stage(
             rest.groupBy(F.least("pu", "pv").alias("cu"), F.greatest("pu", "pv").alias("cv")).agg(F.min("e").alias("e")), "edges"
         )
+    else:
+        raise RuntimeError(f"components are left after {max_rounds} rounds")
     if forest is None:
         forest = spark.createDataFrame([], "u string, v string")
-    return label, forest.distinct()
+    return label, stage(forest.distinct(), "spanning-forest")
+
+
+def document_forest(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(component of every document and hub, spanning forest) of the relations; both lie in the shared folder.
+
+    Documents are prefixed d:, authors a:, works w:, so no document is taken for a hub.
+    """
+    edges = star_edges(catalog)
+    return spanning_forest(edges.select(F.concat(F.lit("d:"), "doc").alias("u"), F.col("hub").alias("v")))
 
 
 def document_groups(catalog: DataFrame) -> DataFrame:
     """doc_name, group_name of every named document (the smallest name of its group by code points)."""
     docs = catalog.filter(F.col("doc_name").isNotNull()).select("doc_name").distinct()
-    edges = star_edges(catalog)
-    # hubs get a prefix that no document vertex has
-    label, _ = spanning_forest(edges.select(F.concat(F.lit("d:"), "doc").alias("u"), F.col("hub").alias("v")))
+    label, _ = document_forest(catalog)
     members = label.filter(F.col("vertex").startswith("d:")).select(F.substring(F.col("vertex"), 3, 1 << 30).alias("doc_name"), "comp")
     least = members.groupBy("comp").agg(F.min("doc_name").alias("group_name"))
     named = members.join(least, "comp").select("doc_name", "group_name")
@@ -141,11 +151,12 @@ def related_documents(catalog: DataFrame) -> DataFrame:
 def _deal_largest(top: list, targets: list[float]) -> tuple[list[int], list[float]]:
     """The split of each of the largest groups, and the records every split still needs.
 
-    Each group goes to the split that is the least filled with it, in parts of the split's target.
+    Each group goes to the split it overfills least, of these to the one least filled with it in parts of its target.
     """
     given, dealt = [0.0] * len(targets), []
     for r in top:
-        at = min(range(len(targets)), key=lambda i: ((given[i] + r["n_records"]) / targets[i] if targets[i] > 0 else float("inf"), i))
+        filled = [g + r["n_records"] for g in given]
+        at = min(range(len(targets)), key=lambda i: (max(0.0, filled[i] - targets[i]), filled[i] / targets[i] if targets[i] > 0 else float("inf"), i))
         given[at] += r["n_records"]
         dealt.append(at)
     return dealt, [max(0.0, t - g) for t, g in zip(targets, given)]
@@ -156,8 +167,8 @@ def assign_splits(
 ) -> DataFrame:
     """group_name, n_records -> split. The largest groups are dealt one by one, the others systematically by size band.
 
-    The ``TOP_GROUPS`` largest groups go, largest first, to the split least
-    filled so far. What each split then still needs of the whole is the stretch
+    The ``TOP_GROUPS`` largest groups go, largest first, to the split they
+    overfill least, else to the one least filled so far. What each split then still needs of the whole is the stretch
     it gets of the others: within a band (power of two) they lie in hashed
     order on a line as long as their records. None of them has more than a
     ``TOP_GROUPS``-th of all records, so their bands miss the needs by little.
@@ -192,14 +203,25 @@ def assign_splits(
     )
 
 
-def record_counts(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
-    """ref table, doc_name -> number of records that name the document."""
+def named_records(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """src_table, record_id (text), doc_name, category of every record that names a document; repeated rows count once.
+
+    A table without a category, or a record without one, gives null.
+    """
     out = None
     for name, df, key in tables:
-        part = df.filter(F.col("doc_name").isNotNull()).groupBy("doc_name").agg(F.countDistinct(key).alias("n"))
-        part = part.select(F.lit(name).alias("src_table"), "doc_name", "n")
+        category = F.col("category") if "category" in df.columns else F.lit(None)
+        part = df.filter(F.col("doc_name").isNotNull()).select(
+            F.lit(name).alias("src_table"), F.col(key).cast("string").alias("record_id"), "doc_name", category.cast("string").alias("category")
+        )
         out = part if out is None else out.unionByName(part)
-    return out
+    # redelivered rows may differ in their category
+    return out.groupBy("src_table", "record_id", "doc_name").agg(F.min("category").alias("category"))
+
+
+def record_counts(tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """src_table, doc_name -> number of records that name the document."""
+    return named_records(tables).groupBy("src_table", "doc_name").agg(F.count("*").alias("n"))
 
 
 def split_documents(catalog: DataFrame, tables: list[tuple[str, DataFrame, str]]) -> DataFrame:
@@ -216,11 +238,29 @@ def split_documents(catalog: DataFrame, tables: list[tuple[str, DataFrame, str]]
     return docs.join(dealt, "group_name").select("doc_name", "group_name", F.col("n").cast("bigint").alias("n_records"), "split")
 
 
-def split_records(splits: DataFrame, df: DataFrame, key: str) -> DataFrame:
-    """Every record of ``df`` that names a document, with its split. A hot document is one broadcastable or skew-split key."""
-    return df.filter(F.col("doc_name").isNotNull()).select(F.col(key).alias("record_id"), "doc_name", "category").distinct().join(
-        splits.select("doc_name", "split"), "doc_name"
-    )
+#: A document with at least 1/HOT_DOCUMENTS of all records meets them by broadcast, so at most this many do.
+HOT_DOCUMENTS = 1000
+
+
+def split_records(splits: DataFrame, tables: list[tuple[str, DataFrame, str]], catalog: DataFrame | None = None) -> DataFrame:
+    """Every record that names a document, with its split: src_table, record_id, doc_name, category, split.
+
+    A missing category is the catalogue's. Records of hot documents (a bounded
+    number) are not shuffled by name; all others join on it.
+    """
+    records = stage(named_records(tables), "named-records")
+    docs = splits.select("doc_name", "n_records", "split")
+    if catalog is not None:
+        known = catalog.filter("doc_name is not null").groupBy("doc_name").agg(F.min("category").alias("__category"))
+        docs = docs.join(known, "doc_name", "left")
+    else:
+        docs = docs.withColumn("__category", F.lit(None).cast("string"))
+    docs = stage(docs, "split-documents")
+    total = docs.agg(F.sum("n_records")).first()[0] or 0
+    hot = F.broadcast(docs.filter(F.col("n_records") * HOT_DOCUMENTS >= total).filter("n_records > 0"))
+    cold = docs.filter((F.col("n_records") * HOT_DOCUMENTS < total) | (F.col("n_records") == 0))
+    out = records.join(hot, "doc_name").unionByName(records.join(hot, "doc_name", "left_anti").join(cold, "doc_name"))
+    return out.select("src_table", "record_id", "doc_name", F.coalesce("category", "__category").alias("category"), "split")
 
 
 def realised_shares(splits: DataFrame) -> DataFrame:

@@ -61,3 +61,13 @@ def test_empty_inputs(spark):
     docs, targets = make(spark, {"a": 3}), spark.createDataFrame([("a", 1.0, 1, 1)], TARGETS)
     assert mx.fair_mixture(docs.filter("false"), targets)[0].count() == 0
     assert mx.fair_mixture(docs, targets.filter("false"))[0].count() == 0
+
+
+def test_a_mixture_of_corpus_size_stops_poor_sources_at_their_caps(spark):
+    docs = make(spark, {"a": 400, "b": 5}, 4)
+    targets = spark.createDataFrame([("a", 0.5, 2, 1), ("b", 0.5, 3, 1)], TARGETS)
+    mixture, flows = mx.mixture_of_corpus_size(docs, targets)
+    got = {r["source"]: r for r in mx.reached_shares(mixture, flows).collect()}
+    total = mx.corpus_budget(flows)
+    assert got["b"]["n_records"] == 15 and got["b"]["most_copies"] == 3 and got["a"]["most_copies"] <= 2
+    assert 0.95 * total < sum(r["n_tokens"] for r in got.values()) <= total

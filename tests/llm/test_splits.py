@@ -81,7 +81,33 @@ def test_records_of_related_documents_stay_together(spark):
     recs = spark.createDataFrame([(1, "a", "x"), (2, "b", "x"), (3, "A.pdf", "x"), (4, None, "x"), (1, "a", "x")], "id bigint, doc_name string, category string")
     out = sp.split_documents(cat, [("t", recs, "id")])
     assert {r["doc_name"] for r in out.collect()} == {"a", "b", "A.pdf"} and len({r["split"] for r in out.collect()}) == 1
-    assert sp.split_records(out, recs, "id").count() == 3
+    found = {tuple(r)[:4] for r in sp.split_records(out, [("t", recs, "id")], cat).collect()}
+    assert found == {("t", "1", "a", "x"), ("t", "2", "b", "x"), ("t", "3", "A.pdf", "x")}
+
+
+@pytest.mark.parametrize("per_band", [1, 2, 3])
+@pytest.mark.parametrize("hot", [False, True])
+def test_bands_of_few_groups_keep_the_shares(spark, per_band, hot):
+    sizes = [(f"g{b}-{i}", 2**b + i) for b in range(12) for i in range(per_band)]
+    total = sum(n for _, n in sizes)
+    if hot:
+        sizes.append(("hot", total // 9))
+        total += total // 9
+    out = sp.assign_splits(spark.createDataFrame(sizes, "group_name string, n_records bigint")).collect()
+    got = {x: sum(r["n_records"] for r in out if r["split"] == x) for x in ("train", "validation", "test")}
+    # one band's largest group holds half of all records, so a small split is met within one group below its share
+    small = max([n for _, n in sizes if n <= 0.1 * total])
+    assert all(abs(got[x] - share * total) <= small for x, share in (("train", 0.8), ("validation", 0.1), ("test", 0.1)))
+
+
+def test_records_without_category_and_hot_documents(spark):
+    cat = spark.createDataFrame([(f"d{i}", "cat", None, 1, None, 1, None) for i in range(40)], SCHEMA)
+    many = [(i, "d1" if i % 3 == 0 else f"d{i % 40}") for i in range(900)]
+    recs = spark.createDataFrame([*many, *many[:50], (None, "d1"), (7, None)], "id bigint, doc_name string")
+    tables = [("t", recs, "id")]
+    out = sp.split_records(sp.split_documents(cat, tables), tables, cat).collect()
+    assert len(out) == len({(r["record_id"], r["doc_name"]) for r in out}) == 901 and {r["category"] for r in out} == {"cat"}
+    assert all(len({r["split"] for r in out if r["doc_name"] == d}) == 1 for d in ("d1", "d2"))
 
 
 @pytest.mark.parametrize("hot", [[1000], [700, 600], [2000], [300, 290, 280]])
