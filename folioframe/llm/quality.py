@@ -4,10 +4,9 @@ Every text gets its statistics (word count, mean word length, symbol ratio,
 share of lines ending in punctuation, share of common words) and the shares of
 its characters that lie in table rows, list entries, unreadable and running
 lines. A Gaussian mixture is fitted by expectation-maximisation on the
-standardised statistics of all documents, and its components are mapped to
-prose, list, table or junk with the inspected examples below. Documents of
-components that are not pure prose are then checked against their own line
-shares.
+standardised statistics of all documents, its components are mapped to prose,
+list, table or junk with the inspected examples below, and a document's kind is
+the one its components give the largest probability.
 
 Defined results: null and blank texts have counts of 0, null ratios and no
 kind; statistics use whole texts; equal texts get equal kinds.
@@ -18,11 +17,12 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from typing import Any
+from typing import Any, NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.llm.lexicon import common_words
 from folioframe.plans.staging import stage
 
 KINDS = ("prose", "list", "table", "junk")
@@ -35,7 +35,8 @@ _END = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 _RULE = re.compile(r"^[\W_]+$")
 _HTML_ROW = re.compile(r"</?(?:tr|td|th|table|tbody|thead)\b", re.I)
 _BROKEN = re.compile(r"[ÃÂ][\u0080-¿Œ-˜‘-™]|â€|[�￾￿-]|[\x00-\x08\x0e-\x1f\x7f]|[\u0080-\u009f]|&#?\w{2,6};|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}")
-_DIGIT = re.compile(r"\d")
+_BROKEN_ASCII = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]|&#?\w{2,6};|\\x[0-9a-fA-F]{2}|\\u[0-9a-fA-F]{4}")
+_NO_DIGIT = re.compile(r"\D+")
 _DIGITS = re.compile(r"^\d{16,}$")
 _LEADER = re.compile(r"\.{4,}|(?:\. ){4,}|…{2,}")
 _HEX = re.compile(r"^(?:0x)?[0-9a-fA-F]{2}$|^(?:0x)?(?=.*\d)[0-9a-fA-F]{8,}$")
@@ -62,27 +63,45 @@ def _cells(line: str) -> tuple[str, list[str]]:
     return "", [s]
 
 
-def _common_share(words: list[str], common: frozenset[str]) -> float:
-    return sum(w in common for w in words) / len(words) if words else 0.0
+class _Memo(dict):
+    """Values of short strings, each found once per task; looked up by ``map`` without a Python frame per string."""
 
+    def __init__(self, find, most: int = 200_000):
+        super().__init__()
+        self.find, self.most = find, most
 
-def _odd_words(words: list[str], tri: dict[str, float] | None, memo: dict[str, bool]) -> float:
-    """Share of letters in words of which the corpus hardly has half of the letter trigrams."""
-    if not tri:
-        return 0.0
-    odd = total = 0
-    for w in words:
-        n = len(w)
-        if n < 4:
-            continue
-        total += n
-        strange = memo.get(w)
-        if strange is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            strange = memo[w] = sum(w[i : i + 3] in tri for i in range(n - 2)) < 0.5 * (n - 2)
-        odd += n * strange
-    return odd / total if total else 0.0
+    def __missing__(self, key: str):
+        if len(self) >= self.most:
+            self.clear()
+        value = self.find(key)
+        if len(key) <= 40:
+            self[key] = value
+        return value
+
+    def total(self, keys: list[str], start=0):
+        return sum(map(self.__getitem__, keys), start)
+
+
+class Lookups:
+    """What a task remembers of words and tokens."""
+
+    def __init__(self, tri: dict[str, float] | None = None):
+        def oddness(w: str) -> complex:
+            # letters of the word, and again if the corpus hardly has half of its trigrams
+            n = len(w)
+            if n < 4 or not tri:
+                return 0j
+            return complex(n, n if sum(w[i : i + 3] in tri for i in range(n - 2)) < 0.5 * (n - 2) else 0)
+
+        self.odd = _Memo(oddness)
+        self.coded = _Memo(lambda t: len(t) if _is_coded(t) else 0)
+        self.broken = _Memo(lambda t: _BROKEN.search(t) is not None)
+        self.number = _Memo(lambda t: _NUMBER.match(t) is not None)
+
+    def odd_share(self, words: list[str]) -> float:
+        """Share of letters in words that look like no word of the corpus."""
+        sums = self.odd.total(words, 0j)
+        return sums.imag / sums.real if sums.real else 0.0
 
 
 def _repetition(tokens: list[str]) -> float:
@@ -99,49 +118,45 @@ def _repetition(tokens: list[str]) -> float:
 
 
 def statistics(
-    text: str | None, common: frozenset[str], tri: dict[str, float] | None = None, memo: dict[str, bool] | None = None
+    text: str | None, common: frozenset[str], tri: dict[str, float] | None = None, known: Lookups | None = None
 ) -> dict[str, Any]:
     """The statistics of one whole text."""
     out: dict[str, Any] = dict.fromkeys(STATS, None)
     out |= {"n_words": 0, "n_lines": 0}
-    if text is None or not text.strip():
+    if text is None or not (tokens := text.split()):
         return out
     lines = [x for x in (x.strip("﻿​ ") if not x.strip() else x for x in _LINE.split(text)) if x.strip()]
-    solid = sum(len(x) for x in text.split())
+    solid = sum(map(len, tokens))
     if not solid or not lines:
         return out
-    tokens = text.split()
-    memo = {} if memo is None else memo
-    words = _WORD.findall(text.lower())
+    known = known or Lookups(tri)
+    words_of = [_WORD.findall(x) for x in map(str.lower, lines)]
+    words = [w for ws in words_of for w in ws]
     letters = sum(map(len, words))
-    digits = len(_DIGIT.findall(text))
-    led = solid - sum(len(x.group().replace(" ", "")) - 1 for x in _LEADER.finditer(text))  # leader dots count once
+    digits = len(_NO_DIGIT.sub("", text))
+    led = solid
+    if ".." in text or "…" in text or ". ." in text:
+        led -= sum(len(x.group().replace(" ", "")) - 1 for x in _LEADER.finditer(text))  # leader dots count once
     out["n_words"], out["n_lines"] = len(tokens), len(lines)
     out["mean_word_len"] = solid / len(tokens)
     out["symbol_ratio"] = max(0.0, (led - letters - digits) / max(1, led))
     out["digit_ratio"] = digits / solid
-    out["end_punct"] = sum(bool(_END.search(x.rstrip())) for x in lines) / len(lines)
-    out["common"] = _common_share(words, common)
+    out["end_punct"] = sum(_END.search(x.rstrip()[-12:]) is not None for x in lines) / len(lines)
+    hits_of = [sum(map(common.__contains__, ws)) for ws in words_of]
+    out["common"] = sum(hits_of) / len(words) if words else 0.0
     out["repetition"] = _repetition(tokens)
-    out["odd"] = _odd_words(words, tri, memo)
-    broken = sum(bool(_BROKEN.search(t)) for t in tokens) / len(tokens) if _BROKEN.search(text) else 0.0
-    coded = sum(len(t) for t in tokens if _is_coded(t, memo)) / solid
-    out["broken"], out["coded"] = broken, coded
-    out |= _line_shares(lines, common)
+    out["odd"] = known.odd_share(words)
+    out["broken"] = known.broken.total(tokens) / len(tokens) if (_BROKEN_ASCII if text.isascii() else _BROKEN).search(text) else 0.0
+    out["coded"] = known.coded.total(tokens) / solid
+    out |= _line_shares(lines, words_of, hits_of, common, known)
     return out
 
 
-def _is_coded(token: str, memo: dict[str, bool]) -> bool:
-    """Hexadecimal pairs, long digit runs and long blobs; short tokens are looked up once per task."""
-    if len(token) <= 30:
-        key = "\0" + token
-        found = memo.get(key)
-        if found is None:
-            if len(memo) > 200_000:
-                memo.clear()
-            found = memo[key] = bool(_HEX.match(token) or _DIGITS.match(token))
-        return found
-    return bool(_HEX.match(token) or _DIGITS.match(token)) or (not _BROKEN.search(token) and "///" not in token and _blob(token))
+def _is_coded(token: str) -> bool:
+    """Hexadecimal pairs, long digit runs and long blobs."""
+    if _HEX.match(token) or _DIGITS.match(token):
+        return True
+    return len(token) > 30 and not _BROKEN.search(token) and "///" not in token and _blob(token)
 
 
 def _blob(token: str) -> bool:
@@ -153,51 +168,58 @@ def _blob(token: str) -> bool:
     return classes >= 3 or core.isdigit() or bool(re.fullmatch(r"[0-9a-fA-F]{24,}", core))
 
 
-def _line_shares(lines: list[str], common: frozenset[str]) -> dict[str, float]:
+def _line_shares(
+    lines: list[str], words_of: list[list[str]], hits_of: list[int], common: frozenset[str], known: Lookups
+) -> dict[str, float]:
     """Shares of the characters in table rows, list entries, noise and running lines."""
     cut = [_cells(x) for x in lines]
+    number = known.number
     kind: list[str] = []
-    for i, (line, (sep, cells)) in enumerate(zip(lines, cut)):
+    for i, (line, words, hits, (sep, cells)) in enumerate(zip(lines, words_of, hits_of, cut)):
         s = line.strip()
-        words = _WORD.findall(s.lower())
-        if _HTML_ROW.search(s):
+        if "<" in s and _HTML_ROW.search(s):
             kind.append("table")
-        elif words and _LEADER.search(s):
+        elif words and (".." in s or "…" in s or ". ." in s) and _LEADER.search(s):
             kind.append("entry")
-        elif _RULE.match(s):
+        elif not words and _RULE.match(s):
             kind.append("rule" if len(set(s) - {" "}) <= 4 else "noise")
         elif len(cells) >= 3 and sep in ("|", "t", "&", "w"):
-            lone = sep in ("w",) and sum(_NUMBER.match(c) is not None for c in cells) == 0 and len(words) > 10
+            lone = sep in ("w",) and number.total(cells) == 0 and len(words) > 10
             kind.append("flow" if lone else "table")
         elif len(cells) >= 3 and sep in (";", ",", "/"):
             around = [len(cut[j][1]) for j in (i - 1, i + 1) if 0 <= j < len(cut) and cut[j][0] == sep]
             same = any(abs(n - len(cells)) <= 1 for n in around)
             short = sum(len(c) for c in cells) / len(cells) <= 24
-            if same and short and _common_share(words, common) < 0.25:
+            if same and short and hits < 0.25 * max(1, len(words)):
                 kind.append("table")
-            elif short and _common_share(words, common) < 0.2:
+            elif short and hits < 0.2 * max(1, len(words)):
                 kind.append("entry")
             else:
                 kind.append("flow")
         else:
             toks = s.split()
-            numeric = sum(_NUMBER.match(t) is not None for t in toks)
+            numeric = number.total(toks)
             if len(toks) >= 3 and numeric >= 2 and numeric >= len(toks) - 2 and not _MARK.match(s):
                 kind.append("table")
-            elif len(toks) >= 2 and numeric >= 1 and len(toks) <= 6 and _loose_row(lines, i) and not _END.search(s):
+            elif len(toks) >= 2 and numeric >= 1 and len(toks) <= 6 and _loose_row(lines, i) and not _END.search(s[-12:]):
                 kind.append("table")
+            elif 5 * (sum(map(len, words)) + len(_NO_DIGIT.sub("", s))) < 2 * sum(map(len, toks)) and not _MARK.match(s):
+                kind.append("noise")  # mostly signs, with or without single letters
             else:
                 kind.append("text")
     # text lines: entries or running text, by block
-    weight = [len(re.sub(r"\s", "", x)) for x in lines]
+    weight = [sum(map(len, x.split())) for x in lines]
     share = Counter()
     n_text = n_common = 0
     text_lines = []
-    for k, line, w in zip(kind, lines, weight):
+    for k, line, words, found, w in zip(kind, lines, words_of, hits_of, weight):
         if k in ("text", "flow"):
-            bare = _MARK.sub("", line, count=1) if k == "text" else line
-            ws = _WORD.findall(bare.lower())
-            hits = sum(x in common for x in ws)
+            mark = _MARK.match(line) if k == "text" else None
+            bare = line[mark.end() :] if mark else line
+            ws, hits = words, found
+            if mark:
+                ws = _WORD.findall(bare.lower())
+                hits = sum(map(common.__contains__, ws))
             text_lines.append((bare, len(ws), hits, w))
             n_text, n_common = n_text + len(ws), n_common + hits
         elif k != "rule":
@@ -212,7 +234,7 @@ def _line_shares(lines: list[str], common: frozenset[str]) -> dict[str, float]:
         around = sum(t[1] for t in near)
         own = hits / n_words if n_words else 0.0
         local = max(own, min(whole, sum(t[2] for t in near) / around if around else 0.0))
-        ended = bool(_END.search(bare.rstrip()))
+        ended = bool(_END.search(bare.rstrip()[-12:]))
         items = bare.count(", ") + 1
         if items >= 4 and not ended and own < 0.3 and n_words <= 3 * items:
             running = False
@@ -243,6 +265,9 @@ STATS = [
 ]
 
 
+#: Statistics that tell how large a text is.
+SIZES = ("n_words", "n_lines", "mean_word_len")
+
 #: Inspected examples: what each kind looks like. Components of the mixture start at them and are named by them.
 EXAMPLES: tuple[tuple[str, str], ...] = (
     ("prose", "The pump was replaced in the spring because it had lost pressure. After that the flow was stable again, and nobody saw a second fault."),
@@ -261,6 +286,7 @@ EXAMPLES: tuple[tuple[str, str], ...] = (
     ("junk", "3f a0 77 1c 9e 04 b2 55 d8 61 0f ee 92 4a 7b c3 18 d5 60 2e 81 fa 39 6c"),
     ("junk", "kJ8sQz0PaX9vLm3RtY7uWd2BnC5eFh1GiK4oNq6TsUwVyZxAbDcEfHgIjMlOpQrSt8u9v0w1x2y3z4=="),
     ("junk", "@@#%&*+=~^|<>{}[]$$§§##@@%%&&**++==~~^^||<<>>@#%&*"),
+    ("junk", "□¤þ£€£þ?ð??□ð€þ¤?þð□□€ßß??■ßþ□¿£€ß□ð£ð■□ßßß□□■□£€þ¤¿ ????? ???????? ???? ???? ?????? ???????? ????"),
     ("junk", "pump 12 kPa pump 12 kPa pump 12 kPa pump 12 kPa pump 12 kPa pump 12 kPa pump 12 kPa pump 12 kPa"),
     ("junk", "ThÃ¤ pÃ¼mÃ©p wÃ¨s rÃ¶plÃ¤cÃ©d Ã¤n thÃ¼ sprÃ¨ng bÃ©cÃ¤usÃ¼ iÃ¶ hÃ¤d lÃ¼st prÃ¨ssÃ©re"),
     ("junk", "eTh mppu swa eplcrdea ni hte gnrpsi uesbcea ti dha tols rspesuer dna ydbonoo wsa a cosdne utlfa"),
@@ -268,31 +294,11 @@ EXAMPLES: tuple[tuple[str, str], ...] = (
 
 #: Letter trigrams rarer than this in the corpus count as unknown; at most 1 / RARE trigrams are kept.
 RARE = 3e-5
-#: Below this probability of being prose a document is checked.
-PURE_PROSE = 0.999
+#: Shares that speak for a kind by their majority, with the place of their turning point; steepness of the turn.
+TURNS = {"s_table": 0.5, "s_list": 0.5, "s_noise": 0.5, "s_flow": 0.5, "broken": 0.5, "coded": 0.5, "repetition": 0.45, "odd": 0.4}
+STEEPNESS = 10.0
+#: Least variance of a component.
 FLOOR = 0.05
-#: A prose component is pure if its line shares and defects spread no more than this.
-PURE_SD = 0.12
-#: A document this many deviations off its component in one of them is checked in any case.
-OUTLIER = 4.0
-
-
-def checked_kind(s: dict[str, Any]) -> str:
-    """The kind a text's own statistics give."""
-    if not s["n_words"]:
-        return "prose"
-    if (
-        s["coded"] > 0.5 or s["broken"] > 0.5 or s["s_noise"] > 0.5 or s["repetition"] > 0.45
-        or (s["odd"] > 0.5 and s["common"] < 0.1)
-        or (s["odd"] > 0.45 and s["s_table"] < 0.5)
-        or (s["odd"] > 0.28 and s["common"] < 0.3 and s["s_table"] < 0.5)
-        or (s["symbol_ratio"] > 0.6 and s["s_table"] < 0.5)
-    ):
-        return "junk"
-    best = max(("s_flow", "s_table", "s_list", "s_noise"), key=lambda k: s[k])
-    return {"s_flow": "prose", "s_table": "table", "s_list": "list", "s_noise": "junk"}[best]
-
-
 def trigram_shares(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     """Letter trigrams that make up at least RARE of the corpus (so a bounded number), from all texts."""
 
@@ -303,9 +309,9 @@ def trigram_shares(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
         for b in batches:
             words: Counter = Counter()
             for text in b["text"]:
-                words.update(w.lower() for w in _WORD.findall(text or "") if len(w) >= 4)
+                words.update(_WORD.findall(text.lower()))
             for w, n in words.items():
-                for i in range(len(w) - 2):
+                for i in range(len(w) - 2 if len(w) >= 4 else 0):
                     seen[w[i : i + 3]] += n
             if len(seen) > 200_000:
                 yield pd.DataFrame({"tri": list(seen), "n": list(seen.values())})
@@ -324,9 +330,9 @@ def text_statistics(docs: DataFrame, common: frozenset[str], tri: dict[str, floa
     def run(batches):
         import pandas as pd
 
-        memo: dict[str, bool] = {}
+        known = Lookups(tri)
         for b in batches:
-            rows = [statistics(t, common, tri, memo) for t in b["text"]]
+            rows = [statistics(t, common, tri, known) for t in b["text"]]
             out = {"doc_id": b["doc_id"]}
             out |= {k: pd.Series([r[k] for r in rows], dtype="float64", index=b.index) for k in STATS}
             yield pd.DataFrame(out)
@@ -335,19 +341,34 @@ def text_statistics(docs: DataFrame, common: frozenset[str], tri: dict[str, floa
     return docs.select("doc_id", "text").mapInPandas(run, schema)
 
 
-def common_set(words: DataFrame, most_per_language: int = 1000) -> frozenset[str]:
-    """The frequent words of all languages in lower case (a fixed table; ranks bound its size)."""
-    rows = words.filter((F.col("word_rank") <= most_per_language) & F.col("word").isNotNull()).select("word").distinct()
-    return frozenset(r["word"].lower() for r in rows.toLocalIterator())
+def common_set(words: DataFrame) -> frozenset[str]:
+    """The frequent words of all languages in lower case."""
+    return frozenset(word for _, word in common_words(words))
 
 
 def _vector(stats, np):
-    """Rows of features: sizes on a log scale, shares as they are."""
-    x = np.asarray(stats, dtype="float64")
-    x[:, 0] = np.log1p(x[:, 0])
-    x[:, 1] = np.log1p(x[:, 1])
-    x[:, 2] = np.log1p(x[:, 2])
-    return np.nan_to_num(x)
+    """Rows of features: sizes on a log scale, majorities turned to nearly 0 or 1, other shares as they are."""
+    x = np.nan_to_num(np.asarray(stats, dtype="float64"))
+    for i, k in enumerate(STATS):
+        if k in SIZES:
+            x[:, i] = np.log1p(x[:, i])
+        elif k in TURNS:
+            x[:, i] = 1 / (1 + np.exp(-STEEPNESS * (x[:, i] - TURNS[k])))
+    return x
+
+
+def _feature(k: str) -> Column:
+    """The same in the JVM."""
+    c = F.coalesce(k, F.lit(0.0))
+    if k in SIZES:
+        return F.log1p(c)
+    return 1 / (1 + F.exp(-STEEPNESS * (c - TURNS[k]))) if k in TURNS else c
+
+
+def _inspected(common: frozenset[str], np):
+    """Features of the inspected examples. The corpus' trigrams need not know their words, so ``odd`` is set by hand."""
+    rows = [statistics(t, common, None) | {"odd": 0.8 if (k, t) == EXAMPLES[-1] else 0.0} for k, t in EXAMPLES]
+    return _vector([[r[k] for k in STATS] for r in rows], np)
 
 
 def _posterior(x, model, np):
@@ -359,34 +380,44 @@ def _posterior(x, model, np):
     return p / p.sum(1, keepdims=True), (top[:, 0] + np.log(p.sum(1))).sum()
 
 
-def fit_mixture(stats: DataFrame, common: frozenset[str], tri: dict[str, float], rounds: int = 12, tolerance: float = 1e-3):
-    """(centre, scale, (weights, means, variances)) of a diagonal Gaussian mixture over all documents.
+class Mixture(NamedTuple):
+    centre: Any
+    scale: Any
+    model: tuple  # weights, means, variances
+    kinds: list[str]
+    rounds: int
+    log_likelihood: float
+    converged: bool
+
+
+def fit_mixture(stats: DataFrame, common: frozenset[str], rounds: int = 40, tolerance: float = 2e-3) -> Mixture | None:
+    """A diagonal Gaussian mixture over all documents, one component per inspected example; None without any text.
 
     One pass over the statistics per round; a task sends its sums only, the
-    driver gets components x features numbers.
+    driver gets components x features numbers. A component keeps the kind of
+    the example nearest to its mean.
     """
     import numpy as np
 
     alive = stats.filter("n_words > 0")
-    logs = {"n_words", "n_lines", "mean_word_len"}
-    col = {k: F.log1p(k) if k in logs else F.coalesce(k, F.lit(0.0)) for k in STATS}
     got = alive.agg(
-        F.count("*").alias("n"), *[F.avg(c).alias(f"a_{k}") for k, c in col.items()], *[F.stddev_pop(c).alias(f"d_{k}") for k, c in col.items()]
+        F.count("*").alias("n"), *[F.avg(_feature(k)).alias(f"a_{k}") for k in STATS], *[F.var_pop(_feature(k)).alias(f"v_{k}") for k in STATS]
     ).first()
     if not got["n"]:
         return None
-    centre = np.array([got[f"a_{k}"] for k in STATS])
-    scale = np.maximum(np.array([got[f"d_{k}"] for k in STATS]), 1e-2)
-    known = [statistics(t, common, None) for _, t in EXAMPLES]
-    for (kind, _), s in zip(EXAMPLES, known):
-        s["odd"] = 0.0  # the corpus' trigrams need not know the words of the examples
-    known[-1]["odd"] = 0.8
-    seeds = (_vector([[s[k] for k in STATS] for s in known], np) - centre) / scale
+    shown = _inspected(common, np)
+    # the examples count as documents, so that a table of few texts has a scale
+    n, m, k = got["n"], np.array([got[f"a_{c}"] for c in STATS]), len(shown)
+    centre = (n * m + shown.sum(0)) / (n + k)
+    spread = n * (np.array([got[f"v_{c}"] for c in STATS]) + (m - centre) ** 2) + ((shown - centre) ** 2).sum(0)
+    scale = np.maximum(np.sqrt(spread / (n + k)), 1e-2)
+    seeds = (shown - centre) / scale
+    named = seeds.copy()
     # sizes of a text tell nothing about its kind: every component starts at the usual size
-    seeds[:, 0] = 0.0
-    model = (np.full(len(seeds), 1 / len(seeds)), seeds.copy(), np.ones_like(seeds))
-    before = None
-    for _ in range(rounds):
+    seeds[:, STATS.index("n_words")] = 0.0
+    model = (np.full(k, 1 / k), seeds.copy(), np.ones_like(seeds))
+    before, ll, used = None, 0.0, 0
+    for used in range(1, rounds + 1):
 
         def run(batches, model=model):
             import numpy as np
@@ -406,8 +437,7 @@ def fit_mixture(stats: DataFrame, common: frozenset[str], tri: dict[str, float],
 
         parts = alive.select(*STATS).mapInPandas(run, "k int, d int, n double, s1 double, s2 double, ll double")
         sums = parts.groupBy("k", "d").agg(*[F.sum(c).alias(c) for c in ("n", "s1", "s2", "ll")]).collect()
-        k, d = seeds.shape
-        n, s1, s2 = np.zeros((k, d)), np.zeros((k, d)), np.zeros((k, d))
+        n, s1, s2 = (np.zeros(seeds.shape) for _ in range(3))
         for r in sums:
             n[r["k"], r["d"]], s1[r["k"], r["d"]], s2[r["k"], r["d"]] = r["n"], r["s1"], r["s2"]
         # a component keeps one pseudo document at its example
@@ -415,62 +445,44 @@ def fit_mixture(stats: DataFrame, common: frozenset[str], tri: dict[str, float],
         mean = (s1 + seeds) / mass
         var = np.maximum((s2 + seeds**2 + 1.0) / mass - mean**2, FLOOR)
         model = (mass[:, 0] / mass[:, 0].sum(), mean, var)
-        ll = sums[0]["ll"]
+        before, ll = ll if used > 1 else None, sums[0]["ll"]
         if before is not None and abs(ll - before) <= tolerance * abs(before):
             break
-        before = ll
-    return centre, scale, model
-
-
-def component_kinds(fitted, common: frozenset[str]) -> list[str]:
-    """The kind of each component: that of the inspected example nearest to its mean."""
-    import numpy as np
+    use = [i for i, c in enumerate(STATS) if c not in SIZES]
+    near = ((model[1][:, None, use] - named[None, :, use]) ** 2).sum(2).argmin(1)
+    converged = before is not None and abs(ll - before) <= tolerance * abs(before)
+    return Mixture(centre, scale, model, [EXAMPLES[i][0] for i in near], used, ll, converged)
 
-    centre, scale, (_, mean, _) = fitted
-    known = [statistics(t, common, None) for _, t in EXAMPLES]
-    for s in known:
-        s["odd"] = 0.0
-    known[-1]["odd"] = 0.8
-    x = (_vector([[s[k] for k in STATS] for s in known], np) - centre) / scale
-    use = [i for i, k in enumerate(STATS) if k not in ("n_words", "n_lines", "mean_word_len")]
-    near = ((mean[:, None, use] - x[None, :, use]) ** 2).sum(2).argmin(1)
-    return [EXAMPLES[i][0] for i in near]
 
-
-def judged_documents(docs: DataFrame, words: DataFrame) -> DataFrame:
-    """doc_id, STATS, mixture_kind, p_prose and kind of every document with text."""
+def judged_documents(docs: DataFrame, words: DataFrame) -> tuple[DataFrame, Mixture | None]:
+    """doc_id, STATS, kind and its probability p of every document with text, and the mixture that gave them."""
     common = common_set(words)
-    tri = trigram_shares(docs)
-    stats = stage(text_statistics(docs, common, tri), "text-statistics")
-    fitted = fit_mixture(stats, common, tri)
+    stats = stage(text_statistics(docs, common, trigram_shares(docs)), "text-statistics")
+    fitted = fit_mixture(stats, common)
+    schema = "doc_id bigint, " + ", ".join(f"{k} double" for k in STATS) + ", kind string, p double"
     if fitted is None:
-        return stats.filter("false").selectExpr("*", "'' as mixture_kind", "0d as p_prose", "'' as kind")
-    kinds = component_kinds(fitted, common)
-    centre, scale, model = fitted
+        return docs.sparkSession.createDataFrame([], schema), None
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
-        of = np.array([[kind == k for kind in KINDS] for k in kinds], dtype="float64")
-        tight = [i for i, k in enumerate(STATS) if k in ("repetition", "odd", "broken", "coded", "s_table", "s_list", "s_noise", "s_flow")]
-        pure = of[:, 0] * (np.sqrt(model[2])[:, tight] * scale[tight] <= PURE_SD).all(1)
+        of = np.array([[kind == k for k in KINDS] for kind in fitted.kinds], dtype="float64")
         for b in batches:
-            if not len(b):
-                continue
-            x = (_vector(b[STATS].to_numpy(), np) - centre) / scale
-            each = _posterior(x, model, np)[0]
-            first = each.argmax(1)
-            far = np.abs(x - model[1][first])[:, tight] / np.sqrt(model[2][first])[:, tight]
-            p, p_pure = each @ of, (each @ pure) * (far.max(1) <= OUTLIER)
-            kind = []
-            for row, pp in zip(b.to_dict("records"), p_pure):
-                kind.append(checked_kind(row) if pp < PURE_PROSE else "prose")
-            yield b.assign(mixture_kind=[KINDS[i] for i in p.argmax(1)], p_prose=p_pure, kind=pd.Series(kind, index=b.index))
-
-    schema = "doc_id bigint, " + ", ".join(f"{k} double" for k in STATS) + ", mixture_kind string, p_prose double, kind string"
-    return stats.filter("n_words > 0").mapInPandas(run, schema)
+            if len(b):
+                x = (_vector(b[STATS].to_numpy(), np) - fitted.centre) / fitted.scale
+                p = _posterior(x, fitted.model, np)[0] @ of
+                yield b.assign(kind=[KINDS[i] for i in p.argmax(1)], p=p.max(1))
+
+    return stats.filter("n_words > 0").mapInPandas(run, schema), fitted
+
+
+def mixture_components(docs: DataFrame, words: DataFrame) -> DataFrame:
+    """One row per component: its kind, its weight, and how the fit ended (rounds, log-likelihood, converged)."""
+    common = common_set(words)
+    m = fit_mixture(stage(text_statistics(docs, common, trigram_shares(docs)), "text-statistics"), common)
+    rows = [] if m is None else [(i, k, float(w), m.rounds, float(m.log_likelihood), m.converged) for i, (k, w) in enumerate(zip(m.kinds, m.model[0]))]
+    return docs.sparkSession.createDataFrame(rows, "component int, kind string, weight double, rounds int, log_likelihood double, converged boolean")
 
 
 def not_prose(docs: DataFrame, words: DataFrame) -> DataFrame:
-    return judged_documents(docs, words).filter("kind <> 'prose'").select("doc_id", "kind").distinct()
+    return judged_documents(docs, words)[0].filter("kind <> 'prose'").select("doc_id", "kind").distinct()

@@ -92,6 +92,10 @@ def p8_statistics(spark: SparkSession, d: str) -> DataFrame:
     return stats.select("doc_id", *[F.round(F.col(c), 6).alias(c) for c in quality.STATS])
 
 
+def p8_components(spark: SparkSession, d: str) -> DataFrame:
+    return quality.mixture_components(table(spark, d, "documents"), table(spark, d, "common_words"))
+
+
 QUERIES = {
     "p3_found": p3_found,
     "p3_defect_counts": p3_defect_counts,
@@ -108,6 +112,7 @@ QUERIES = {
     "p7_corpus_shares": p7_corpus_shares,
     "p8_found": p8_found,
     "p8_statistics": p8_statistics,
+    "p8_components": p8_components,
 }
 
 _FILLERS = ", ".join("'" + x.replace("'", "''") + "'" for x in splits.FILLER_AUTHORS)

@@ -6,19 +6,32 @@ COMMON = frozenset("the of and to in is that was it for on with as at by from no
 PROSE = "The pump was not changed in the spring, but the flow of the water was stable and nobody saw that the valve had moved."
 
 
-@pytest.mark.parametrize(
-    "text, kind",
-    [
+def common_table(spark):
+    return spark.createDataFrame([("en", w, i + 1) for i, w in enumerate(sorted(COMMON))], "lang string, word string, word_rank bigint")
+
+
+CASES = [
         (PROSE, "prose"), (PROSE.lower().replace(",", "").replace(".", ""), "prose"), (PROSE.replace(" the", "\nthe"), "prose"), (PROSE + "\n- a pump\n- a valve", "prose"),
         ("- pump\n- valve (mm)\n- hose\n- seal", "list"), ("Pump: 12 kPa\nValve: 3 mm\nHose: 4 cm", "list"), ("1.1 Pump ........ 2\n1.2 Valve ...... 4\n1.3 Hose ......... 6", "list"), ("pump; valve; gauge; hose; filter; seal", "list"),
         ("[1] Stone. Pump, 1999, pp. 1-2.\n[2] Hill. Valve, 2001, pp. 3-4.\n[3] Weaver. Hose, 2003, pp. 4-9.", "list"),
         ("| a | b | c |\n| --- | --- | --- |\n| x | 1 | 2 |", "table"), ("a\tb\tc\nx\t1\t2", "table"), ("a;b;c\nx;1;2\ny;3;4", "table"), ("a,b,c\nx,1,2\ny,3,4", "table"), ("pump 1.5 20 3\nvalve 2.5 7 9", "table"), ("<tr><td>a</td><td>b</td><td>c</td></tr>", "table"),
         ("3f a0 77 1c 9e 04 b2 55 d8 61 0f ee 92", "junk"), ("@@#%&*+=~^|<>{}[]$$§§##@@%%", "junk"), ("pump 12 kPa " * 30, "junk"), ("ThÃ¤ pÃ¼mÃ©p wÃ¨s rÃ¶plÃ¤cÃ©d", "junk"), ("40199578271332" * 9, "junk"), ("kJ8sQz0PaX9vLm3RtY7uWd2BnC5eFh1GiK4oNq6TsUw+/y==", "junk"),
-        (None, "prose"), ("  \n", "prose"),
-    ],
-)
-def test_kinds_by_own_statistics(text, kind):
-    assert ql.checked_kind(ql.statistics(text, COMMON)) == kind
+]
+
+
+def test_kinds_of_few_texts(spark):
+    rows = [(i, t) for i, (t, _) in enumerate(CASES)] + [(100 + i, f"{PROSE} They saw it again on day {i}, as it was in the report.") for i in range(20)] + [(200, None), (201, "  \n")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r["doc_id"]: r["kind"] for r in ql.not_prose(docs, common_table(spark)).collect()}
+    assert got == {i: k for i, (_, k) in enumerate(CASES) if k != "prose"}
+
+
+def test_the_fit_is_reported(spark):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(CASES)], "doc_id bigint, text string")
+    out = ql.mixture_components(docs, common_table(spark)).collect()
+    assert len(out) == len(ql.EXAMPLES) and {r["kind"] for r in out} == set(ql.KINDS)
+    assert abs(sum(r["weight"] for r in out) - 1) < 1e-9 and out[0]["converged"] and 1 < out[0]["rounds"] <= 40
+    assert ql.mixture_components(docs.filter("false"), common_table(spark)).count() == 0
 
 
 def test_statistics():
@@ -49,7 +62,7 @@ def test_mixture_keeps_true_cases(spark):
             want[i] = kind
     rows += [(1000, None, None, 1.0), (1001, " ", None, 1.0), (3, rows[3][1], None, 1.0)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, kind string, n_words double")
-    common = spark.createDataFrame([("en", w, i + 1) for i, w in enumerate(sorted(COMMON))], "lang string, word string, word_rank bigint")
+    common = common_table(spark)
     got = {r["doc_id"]: r["kind"] for r in ql.not_prose(docs, common).collect()}
     assert got == want
     assert ql.not_prose(docs.filter("false"), common).count() == 0
