@@ -3,8 +3,9 @@
 Texts are cut into words by the vocabulary's pattern in the JVM. A word that is
 one vocabulary piece gets its id in place. Of all other words every distinct
 one is encoded once: a fold over its bytes merges the pair of lowest rank until
-none is left, all in higher-order functions over a literal rank map. The
-vocabulary's words then meet their places in a shuffle join.
+none is left, all in higher-order functions over a literal rank map. Of these
+words the frequent ones (a bounded number) are a literal map, too; the others
+meet their places in a shuffle join, so no frequent word is ever a join key.
 
 Defined results: empty and null texts give an empty list; texts of white space
 are encoded like any other; every document gives one row; decoding the ids of a
@@ -18,7 +19,8 @@ import heapq
 import json
 import os
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +34,14 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 #: Buckets of the literal rank map: a map is searched linearly, a bucket holds about six pieces.
 BUCKETS = 8192
 #: Words of more bytes than this are merged with a heap (same merges) instead of the fold, whose cost is quadratic.
-FOLD_BYTES = 192
+FOLD_BYTES = 4096
+#: A word with at least 1/HOT_WORDS of all places of words that are no piece is frequent, so at most this many are.
+HOT_WORDS = 16384
+#: Longer words are never part of the literal map of frequent words, which so holds at most HOT_WORDS x HOT_BYTES bytes.
+HOT_BYTES = 64
 NO_RANK = 1 << 30
+#: Marks the place of a word that is no piece.
+OPEN = -1
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.tiktoken", folder: str | None = None) -> str:
@@ -54,6 +62,30 @@ def rank_literal(path: str) -> Column:
     return F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
 
 
+def _bucketed(entries: list[tuple[str, Any]], kind: str) -> Column:
+    """array<map<text, kind>> over texts, by the CRC of their UTF-8 bytes."""
+    buckets: list[dict[str, Any]] = [{} for _ in range(BUCKETS)]
+    for text, value in entries:
+        buckets[zlib.crc32(text.encode("utf-8")) % BUCKETS][text] = value
+    return F.from_json(F.lit(json.dumps(buckets)), f"array<map<string,{kind}>>")
+
+
+def text_literal(path: str) -> Column:
+    """The pieces that are whole texts, keyed as texts: most words are one of them and need no look at their bytes."""
+    found = []
+    for piece, rank in load_ranks(path).items():
+        try:
+            found.append((piece.decode("utf-8"), rank))
+        except UnicodeDecodeError:
+            continue
+    return _bucketed(found, "int")
+
+
+def _look_up(literal: Column, word: Column) -> Column:
+    bucket = F.get(literal, F.pmod(F.crc32(word.cast("binary")), F.lit(BUCKETS)).cast("int"))
+    return F.try_element_at(bucket, word)
+
+
 def piece_literal(path: str) -> Column:
     ranks = load_ranks(path)
     pieces = [""] * (max(ranks.values()) + 1)
@@ -159,13 +191,13 @@ def heap_merges(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """word, ids of every distinct word of ``words`` (column word)."""
+    """word, n, ids of every distinct word of ``words`` (column word), n: how often it occurs."""
     # the fold is costly per word: spread the few distinct words over all cores, whatever their bytes
     sc = words.sparkSession.sparkContext
     tasks = max(int(words.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * sc.defaultParallelism)
-    distinct = words.select("word").distinct().repartition(tasks, "word")
+    distinct = words.groupBy("word").agg(F.count("*").alias("n")).repartition(tasks, "word")
     short = distinct.filter(F.octet_length("word") <= FOLD_BYTES)
-    short = short.select("word", fold_merges(F.col("word"), rank_literal(path)).alias("ids"))
+    short = short.select("word", "n", fold_merges(F.col("word"), rank_literal(path)).alias("ids"))
 
     def run(batches):
         ranks = load_ranks(path)
@@ -173,39 +205,55 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
             b["ids"] = [heap_merges(w.encode("utf-8"), ranks) for w in b["word"]]
             yield b
 
-    long = distinct.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(run, "word string, ids array<int>")
+    long = distinct.filter(F.octet_length("word") > FOLD_BYTES).mapInPandas(run, "word string, n bigint, ids array<int>")
     return short.unionByName(long)
 
 
 def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """One row per document: its id and the token ids of its whole text."""
     path = path or vocabulary_path()
-    ranks = rank_literal(path)
+    pieces = text_literal(path)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PATTERN), F.lit(0))
-    cut = docs.select(F.col(id_col).alias("id"), words.alias("words"))
-    cut = cut.select("id", "words", F.transform("words", lambda w: _rank(ranks, _bytes(w))).alias("ids0"))
-    open_ = F.filter(
-        F.transform("words", lambda w, i: F.struct(i.alias("pos"), F.when(F.get("ids0", i).isNull(), w).alias("word"))),
-        lambda x: x["word"].isNotNull(),
-    )
-    # repeated ids of a corpus keep their rows apart
-    tagged = stage(
-        cut.select(F.expr("uuid()").alias("row"), "id", "ids0", open_.alias("open")), "tagged-words"
-    )
-    places = tagged.select("row", F.explode("open").alias("x")).select("row", "x.pos", "x.word")
-    coded = stage(encode_words(places, path), "coded-words")
-    filled = (
-        places.join(coded, "word").groupBy("row").agg(F.collect_list(F.struct("pos", F.col("ids"))).alias("late"))
-    )
-    early = F.filter(
-        F.transform("ids0", lambda x, i: F.struct(i.alias("pos"), F.when(x.isNotNull(), F.array(x)).alias("ids"))),
-        lambda s: s["ids"].isNotNull(),
-    )
-    late = F.coalesce("late", F.array().cast("array<struct<pos:int,ids:array<int>>>"))
-    merged = F.array_sort(F.concat(early, late))
-    return tagged.join(filled, "row", "left").select(
-        F.col("id").alias(id_col), F.flatten(F.transform(merged, lambda s: s["ids"])).alias("ids")
-    )
+    # repeated ids of a corpus keep their rows apart; the row number is written, so it stays
+    cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    cut = cut.select("row", "id", "words", F.transform("words", lambda w: F.coalesce(_look_up(pieces, w), F.lit(OPEN))).alias("ids0"))
+    # only ids0, which stands in several places, may be looked at per element: the optimizer would put other columns' expressions there
+    open_ = F.filter(F.transform("words", lambda w, i: F.when(F.get("ids0", i) == OPEN, w)), lambda w: w.isNotNull())
+    tagged = stage(cut.select("row", "id", "ids0", open_.alias("open")), "tagged-words")
+    coded = stage(encode_words(tagged.select(F.explode("open").alias("word")), path), "coded-words")
+    total = coded.agg(F.sum("n")).first()[0] or 0
+    frequent = coded.filter((F.col("n") * HOT_WORDS >= total) & (F.octet_length("word") <= HOT_BYTES)).select("word", "ids")
+    hot = [(r["word"], list(r["ids"])) for r in frequent.toLocalIterator()]  # at most HOT_WORDS
+    known = _bucketed(hot, "array<int>")
+    rare = tagged.select("row", F.posexplode("open").alias("pos", "word"))
+    rare = rare.join(F.broadcast(frequent.select("word")), "word", "left_anti").join(coded.select("word", "ids"), "word")
+    late = rare.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "ids"))).alias("late"))
+    early = tagged.select("row", "id", "ids0", F.transform("open", lambda w: _look_up(known, w)).alias("ids1"))
+    joined = early.join(late, "row", "left")
+    # rare words take the empty places among the open words in order, open words the marked places of the text
+    lists = F.transform("late", lambda s: F.array(s["ids"]))
+    filled = F.when(F.col("late").isNull(), F.col("ids1")).otherwise(_spliced(F.col("ids1"), lambda x: x.isNull(), lists))
+    return joined.select(F.col("id").alias(id_col), _spliced(F.col("ids0"), lambda x: x == OPEN, filled).alias("ids"))
+
+
+def _spliced(base: Column, gap: Callable[[Column], Column], lists: Column) -> Column:
+    """``base`` with its k-th gap replaced by the k-th of ``lists``: the stretches between gaps, each followed by a list."""
+    gaps = F.filter(F.transform(base, lambda x, i: F.when(gap(x), i)), lambda i: i.isNotNull())
+
+    def bound(both: Column) -> Column:
+        row, at = both["row"], both["at"]
+
+        def stretch(i: Column, k: Column) -> Column:
+            start = F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + 1)
+            return F.slice(row, start + 1, i - start)
+
+        tail = F.coalesce(F.try_element_at(at, F.lit(-1)) + 2, F.lit(1))
+        rest = F.slice(row, tail, F.greatest(F.size(row) - tail + 1, F.lit(0)))
+        return F.when(F.size(at) == 0, row).otherwise(
+            F.concat(F.flatten(F.zip_with(F.transform(at, stretch), lists, lambda s, x: F.concat(s, x))), rest)
+        )
+
+    return _let(F.struct(base.alias("row"), gaps.alias("at")), bound)
 
 
 def decode_ids(ids: Column, path: str | None = None) -> Column:

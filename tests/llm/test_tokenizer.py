@@ -27,6 +27,18 @@ def test_ids_equal_the_public_encoder(spark, reference):
     assert got == {i: reference.encode_ordinary(t or "") for i, t in enumerate(texts)}
 
 
+def test_frequent_rare_and_long_words(spark, reference, monkeypatch):
+    monkeypatch.setattr(tk, "HOT_WORDS", 40)
+    monkeypatch.setattr(tk, "FOLD_BYTES", 300)
+    rnd = random.Random(3)
+    names = ["Zimarvex", "qlotrup", "Ünterzwölf", "日本語学部"]
+    long = "".join(rnd.choice("0123456789") for _ in range(900))
+    texts = [" ".join(rnd.choice(names) if rnd.random() < 0.5 else f"w{rnd.randrange(900)}x" for _ in range(30)) for _ in range(80)] + [long, f"a {long[:250]} b {long}", "Zimarvex" * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["ids"] for r in tk.encode_corpus(df).collect()}
+    assert got == {i: reference.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_round_trip_and_repeated_ids(spark):
     rows = [(1, t) for t in TEXTS if t is not None]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
