@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioframe.plans.staging import drop_folder, new_folder, rename_folder, stage
+from folioframe.plans.staging import drop_folder, new_folder, rename_folder, spread, stage
 
 KEY = ["file_kind", "doc_name", "page", "record_key", "nameless"]
 #: Files per scheduling shard: files are hashed into as many shards as keep one heap (one task) at about this many.
@@ -92,7 +92,8 @@ def decode_files(files: DataFrame) -> DataFrame:
             yield out
 
     cols = ["file_kind", "doc_name", "page", "modified_at", "content"]
-    return files.select(F.coalesce(F.col("file_id").cast("bigint"), F.lit(-1)).alias("file_id"), *cols).filter("content is not null").mapInPandas(run, RECORDS_SCHEMA)
+    known = files.select(F.coalesce(F.col("file_id").cast("bigint"), F.lit(-1)).alias("file_id"), *cols).filter("content is not null")
+    return spread(known).mapInPandas(run, RECORDS_SCHEMA)
 
 
 def last_records(records: DataFrame) -> DataFrame:

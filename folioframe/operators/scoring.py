@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import boxparse, matching
 from folioframe.functions import text as tx
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 THRESHOLDS = (0.3, 0.5, 0.7)
 
@@ -39,7 +39,7 @@ def flat_scores(df: DataFrame, key: str, gt: str, pred: str) -> DataFrame:
 
 def scored_predictions(df: DataFrame, predict: str, label: str) -> DataFrame:
     """Input rows with parsed pages, mode, grouping, scores (6 digits) and error; unreadable rows score 0."""
-    parsed = df.withColumn("__l", boxparse.parsed_label(F.col(label)))
+    parsed = spread(df).withColumn("__l", boxparse.parsed_label(F.col(label)))
     pages = F.col("__l.pages")
     single = F.coalesce(F.forall(pages, lambda p: F.size(p) == 1), F.lit(False))
     parsed = parsed.withColumn(

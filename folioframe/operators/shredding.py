@@ -26,7 +26,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 #: Keys tried in order for a box inside an object.
 BOX_KEYS = ("bbox_2d", "bbox", "box", "coordinates")
@@ -286,7 +286,7 @@ def shred_payloads(df: DataFrame, id_col: str, payload_col: str, time_col: str,
     src = df.select(
         F.col(id_col).cast("bigint").alias("rid"), F.col(time_col).alias("at"), F.xxhash64(payload_col).alias("h"), F.col(payload_col).alias("payload")
     ).filter("rid is not null and payload is not null")
-    return src.mapInArrow(run, f"rid bigint, at {src.schema['at'].dataType.simpleString()}, h bigint, {SHRED_SCHEMA}")
+    return spread(src).mapInArrow(run, f"rid bigint, at {src.schema['at'].dataType.simpleString()}, h bigint, {SHRED_SCHEMA}")
 
 
 def last_delivery(shredded: DataFrame) -> DataFrame:
