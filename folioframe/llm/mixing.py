@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.prefix import running_total
 from folioframe.llm.tokenizer import token_count
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 #: Stretches of the virtual time line used for the global running total.
 STRETCHES = 4096
@@ -28,7 +28,7 @@ STRETCHES = 4096
 
 def sized_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     sized = docs.select("doc_id", "source", "text").filter("source is not null and text is not null and text <> ''")
-    return sized.select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"))
+    return spread(sized).select("doc_id", "source", token_count(F.col("text"), path).alias("n_tokens"))
 
 
 def flow_weights(sized: DataFrame, targets: DataFrame) -> DataFrame:

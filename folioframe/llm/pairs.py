@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.lexicon import common_words
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 DEFECTS = ("empty", "refusal", "copy", "language", "truncated")
 
@@ -506,7 +506,7 @@ def look_at_pairs(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFr
                 out[c] = out[c].astype("Int64")
             yield out
 
-    return pairs.mapInPandas(run, _LOOKED)
+    return spread(pairs).mapInPandas(run, _LOOKED)
 
 
 def count_wordings(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataFrame:
@@ -539,7 +539,7 @@ def count_wordings(pairs: DataFrame, common: dict[str, frozenset[str]]) -> DataF
             rows = [(key, mid[key], last[True][key], last[False][key]) for key in mid.keys() | last[True].keys() | last[False].keys()]
             yield pd.DataFrame(rows, columns=["key", "mid", "ended", "open"])
 
-    return answers.select("answer").mapInPandas(run, _COUNTED).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("mid", "ended", "open")])
+    return spread(answers.select("answer")).mapInPandas(run, _COUNTED).groupBy("key").agg(*[F.sum(c).alias(c) for c in ("mid", "ended", "open")])
 
 
 def _going_on(name: str, own: int):

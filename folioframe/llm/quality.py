@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.llm.lexicon import common_words
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 KINDS = ("prose", "list", "table", "junk")
 
@@ -318,7 +318,7 @@ def trigram_shares(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
                 seen = Counter()
         yield pd.DataFrame({"tri": pd.Series(list(seen), dtype="object"), "n": pd.Series(list(seen.values()), dtype="int64")})
 
-    counted = docs.select(F.col(text_col).alias("text")).filter("text is not null").mapInPandas(run, "tri string, n bigint")
+    counted = spread(docs.select(F.col(text_col).alias("text")).filter("text is not null")).mapInPandas(run, "tri string, n bigint")
     sums = stage(counted.groupBy("tri").agg(F.sum("n").alias("n")), "trigrams")
     total = sums.agg(F.sum("n")).first()[0] or 0
     return {r["tri"]: 1.0 for r in sums.filter(F.col("n") >= max(1, total * RARE)).select("tri").toLocalIterator()}
@@ -338,7 +338,7 @@ def text_statistics(docs: DataFrame, common: frozenset[str], tri: dict[str, floa
             yield pd.DataFrame(out)
 
     schema = "doc_id bigint, " + ", ".join(f"{k} double" for k in STATS)
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    return spread(docs.select("doc_id", "text")).mapInPandas(run, schema)
 
 
 def common_set(words: DataFrame) -> frozenset[str]:

@@ -25,7 +25,7 @@ from typing import Any
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.plans.staging import stage
+from folioframe.plans.staging import spread, stage
 
 #: Where vocabulary files lie; the path is a parameter of every function here.
 TOKENIZER_DIR = os.environ.get("FOLIOFRAME_TOKENIZERS", "/opt/tokenizers")
@@ -215,7 +215,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pieces = text_literal(path)
     words = F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(PATTERN), F.lit(0))
     # repeated ids of a corpus keep their rows apart; the row number is written, so it stays
-    cut = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
+    cut = spread(docs.select(id_col, text_col)).select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), words.alias("words"))
     cut = cut.select("row", "id", "words", F.transform("words", lambda w: F.coalesce(_look_up(pieces, w), F.lit(OPEN))).alias("ids0"))
     # only ids0, which stands in several places, may be looked at per element: the optimizer would put other columns' expressions there
     open_ = F.filter(F.transform("words", lambda w, i: F.when(F.get("ids0", i) == OPEN, w)), lambda w: w.isNotNull())
