@@ -107,3 +107,16 @@ def bbox_target(rel_bbox: Column) -> Column:
 def aligned_types(boxes: Column, types: Column, filler: str = "unknown") -> Column:
     """One type per box of a page."""
     return F.transform(boxes, lambda b, i: F.coalesce(F.get(types, i), F.lit(filler)))
+
+
+def page_boxes(raw: Column) -> Column:
+    """Boxes of one page from JSON text: a flat list of numbers is one box; null, empty and unreadable texts give none."""
+    flat = F.from_json(raw, "array<double>")
+    nested = F.from_json(raw, "array<array<double>>")
+    none = F.array().cast("array<array<double>>")
+    return F.coalesce(F.when(raw.rlike(r"^\s*\[\s*-?\d"), F.array(flat)).otherwise(nested), none)
+
+
+def mask_box(xywh: Column, width: Column, height: Column) -> Column:
+    """Corners of a mask's box; the whole page where it has none."""
+    return F.coalesce(from_xywh(xywh, width, height), box(F.lit(0), F.lit(0), width, height))

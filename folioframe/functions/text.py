@@ -197,7 +197,7 @@ def looks_like_verdict(raw: Column) -> Column:
 
 def bare_number_key(name: Column) -> Column:
     """All digits of a name as one number; 10^9 without digits."""
-    return F.coalesce(F.expr("try_cast(null as bigint)"), F.regexp_replace(name, r"\D", "").try_cast("bigint"), F.lit(10**9).cast("bigint"))
+    return F.coalesce(F.regexp_replace(name, r"\D", "").try_cast("bigint"), F.lit(10**9).cast("bigint"))
 
 
 def suffix_page(stem: Column) -> Column:

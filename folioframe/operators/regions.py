@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import geometry
 from folioframe.functions import text as tx
+from folioframe.plans.staging import stage
 
 KINDS = ("text", "table", "image")
 OVERLAP = 0.90
@@ -127,3 +128,34 @@ def merged_records(clean: DataFrame, verdicts: DataFrame) -> DataFrame:
 
 def page_order(page: str = "page") -> list[Column]:
     return [tx.bare_number_key(F.col(page)), F.col(page)]
+
+
+def mask_candidates(masks: DataFrame, least: float = 0.05, most: float = 0.70, pad: float = 10.0) -> DataFrame:
+    """Crop candidates of segmented pages (page, mask_no, bbox as x, y, w, h, width, height): kept share of the page, padded box, crop name.
+
+    Stands where a segmentation model would: the masks are a table.
+    """
+    w, h = F.col("width").cast("double"), F.col("height").cast("double")
+    corners = geometry.mask_box(F.col("bbox"), w, h)
+    sides = F.greatest(F.col("bbox")[2], F.lit(0)) * F.greatest(F.col("bbox")[3], F.lit(0))
+    ratio = F.when(w * h > 0, F.coalesce(sides, w * h) / (w * h)).otherwise(0.0)
+    out = masks.withColumns({"box": corners, "ratio": ratio}).filter(F.col("ratio").between(least, most))
+    name = F.format_string("%s_final_%03d.png", F.col("page").cast("string"), F.col("mask_no"))
+    return out.withColumns({"padded": geometry.padded(F.col("box"), F.lit(pad), w, h), "name": name})
+
+
+def crop_status(crops: DataFrame, listing: DataFrame, least: float = OVERLAP) -> DataFrame:
+    """Kept crops (page, name, type, box) with their status: missing (no file in ``listing``: page, name), pruned or kept."""
+    left = pruned(crops, least).select("page", "name", F.lit(True).alias("__left"))
+    there = listing.select("page", "name").distinct().withColumn("__there", F.lit(True))
+    both = crops.join(left, ["page", "name"], "left").join(there, ["page", "name"], "left")
+    status = F.when(F.col("__there").isNull(), "missing").when(F.col("__left").isNull(), "pruned").otherwise("kept")
+    return both.withColumn("status", status).drop("__left", "__there")
+
+
+def post_clean(stored: DataFrame, masks: DataFrame, raw: str = "raw_output", least: float = OVERLAP) -> DataFrame:
+    """Cleaning alone, from stored judge texts: verdicts read again, first masks joined, kept crops pruned."""
+    # written once: the long expression of a verdict would be copied into every use
+    read = stage(stored.select("page", "id", "name", crop_verdict(F.col(raw)).alias("v")), "verdicts")
+    read = read.select("page", "id", "name", "v.keep", "v.type").filter("keep")
+    return pruned(with_masks(read, masks).select("page", "id", "name", "type", "box"), least)

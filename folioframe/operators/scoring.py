@@ -128,3 +128,14 @@ def judge_accuracy(df: DataFrame, verdict_text: str) -> DataFrame:
         F.count_if(v.isNull() | ~v.isin("True", "False")).alias("n_unknown"),
         F.when(F.count("*") > 0, F.round(hits / F.count("*"), 6)).alias("accuracy"),
     )
+
+
+def generation_metrics(scored: DataFrame, metrics: list[str], runtime: float, preparation: float, batch: int) -> DataFrame:
+    """One row: the mean of every metric column, run times, samples and steps (batches) per second."""
+    n = F.count("*")
+    per_second = lambda c: (c / F.lit(runtime)) if runtime > 0 else F.lit(0.0)
+    return scored.agg(
+        *[F.coalesce(F.avg(m), F.lit(0.0)).alias(f"predict_{m}") for m in sorted(metrics)],
+        F.lit(float(preparation)).alias("predict_model_preparation_time"), F.lit(float(runtime)).alias("predict_runtime"),
+        per_second(n).alias("predict_samples_per_second"), per_second(F.ceil(n / batch)).alias("predict_steps_per_second"),
+    )

@@ -420,7 +420,8 @@ def qa_tagged(spark: SparkSession, d: str) -> DataFrame:
     return _tagged(spark, d).select("record_id", F.posexplode(items).alias("item_pos", "x")).select("record_id", "item_pos", "x.*")
 
 
-@query()
+@query(f"""WITH {_ITEMS_SQL}, shown AS ({_QA_OUT}) SELECT record_id, form, CAST(item_pos AS INTEGER) AS item_pos, q, a, CASE form WHEN 'lines' THEN 'span' ELSE type END AS type,
+  CASE form WHEN 'lines' THEN 'medium' ELSE difficulty END AS difficulty FROM shown, (VALUES ('json'), ('lines'), ('tagged')) f(form)""")
 def qa_parsed(spark: SparkSession, d: str) -> DataFrame:
     """The same texts through the full cascade, and as JSON and labelled lines."""
     qa = table(spark, d, "qa_records").select("record_id", "qas").distinct()
@@ -450,12 +451,16 @@ def chat_messages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT DISTINCT ann_id, CAST(len(list_filter(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)) > 0)) AS INTEGER) AS n_pages,
-  CAST(list_sum(list_transform(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)))) AS BIGINT) AS n_boxes
+  CAST(list_sum(list_transform(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)))) AS BIGINT) AS n_boxes,
+  array_to_string(list_transform(flatten(flatten(list_transform(rel_bbox, lambda p: list_filter(p, lambda b: len(b) = 4)))), lambda v: CAST(CAST(round(v * 1000000) AS BIGINT) AS VARCHAR)), ',') AS millionths
   FROM bench_annotations WHERE len(evidence_page) > 0 AND len(list_filter(rel_bbox, lambda p: len(list_filter(p, lambda b: len(b) = 4)) > 0)) > 0""")
 def chat_box_targets(spark: SparkSession, d: str) -> DataFrame:
     out = chat.chat_samples(_annotated(spark, d), "bbox")
     pages = F.from_json("bbox_target", "array<array<array<double>>>")
-    return out.select("ann_id", F.size(pages).alias("n_pages"), F.aggregate(pages, F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(p)).alias("n_boxes")).distinct()
+    return out.select(
+        "ann_id", F.size(pages).alias("n_pages"), F.aggregate(pages, F.lit(0).cast("bigint"), lambda acc, p: acc + F.size(p)).alias("n_boxes"),
+        F.array_join(F.transform(F.flatten(F.flatten(pages)), lambda v: F.round(v * 1000000).cast("bigint").cast("string")), ",").alias("millionths"),
+    ).distinct()
 
 
 @query("""SELECT DISTINCT sample_id, CAST(CASE WHEN image_mode IN ('page', 'bbox') THEN CASE WHEN coalesce(len(evidence_page), 0) > 0 THEN len(evidence_page) ELSE coalesce(len(images), 0) END
@@ -470,11 +475,11 @@ def image_token_count(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH u AS (SELECT DISTINCT sample_id, images, list_filter(messages, lambda m: m.role = 'user')[1].content AS txt FROM chat_samples),
  p AS (SELECT sample_id, images, string_split(txt, '<image>') s FROM u WHERE txt IS NOT NULL), x AS (SELECT sample_id, images, s, unnest(range(1, len(s) + 1)) i FROM p)
- SELECT sample_id, CAST(sum(CASE WHEN s[i] <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_text, CAST(sum(CASE WHEN i <= least(len(s) - 1, coalesce(len(images), 0), 3) THEN 1 ELSE 0 END) AS BIGINT) AS n_image,
+ SELECT sample_id, CAST(sum(CASE WHEN s[i] <> '' THEN 1 ELSE 0 END) AS BIGINT) AS n_text, CAST(sum(CASE WHEN i <= least(len(s) - 1, coalesce(len(images), 0)) THEN 1 ELSE 0 END) AS BIGINT) AS n_image,
   CAST(sum(length(s[i])) AS BIGINT) AS n_chars FROM x GROUP BY sample_id, images, s""")
 def prompt_split(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "chat_samples").select("sample_id", "images", tx.message_of(F.col("messages"), "user").alias("txt")).distinct()
-    parts = tx.prompt_parts(F.col("txt"), F.col("images"), most=3)
+    parts = tx.prompt_parts(F.col("txt"), F.col("images"))
     n = lambda kind: F.size(F.filter("parts", lambda x: x["type"] == kind)).cast("bigint")
     chars = F.aggregate(F.filter("parts", lambda x: x["type"] == "text"), F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x["value"]))
     return c.filter("txt is not null").withColumn("parts", parts).select("sample_id", n("text").alias("n_text"), n("image").alias("n_image"), chars.alias("n_chars"))
@@ -562,12 +567,12 @@ def left_join_default(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""WITH v AS (SELECT doc_name AS doc, page, image, record_id, ingested_at, record_id % 4 <> 0 AS keep FROM qa_records WHERE image IS NOT NULL),
  l AS (SELECT DISTINCT doc, page, image FROM (SELECT *, row_number() OVER (PARTITION BY doc, page, image ORDER BY record_id DESC) r FROM v) WHERE r = 1 AND keep)
- SELECT DISTINCT q.record_id, q.doc_name AS doc, q.page, q.image, q.bbox[1] AS x1 FROM qa_records q JOIN l ON l.doc = q.doc_name AND l.page = q.page AND l.image = q.image""")
+ SELECT DISTINCT q.record_id, q.doc_name AS doc, q.page, q.image, CASE WHEN len(q.bbox) = 4 AND NOT list_contains(list_transform(q.bbox, lambda v: v IS NULL), true) THEN array_to_string(q.bbox, ',') END AS box FROM qa_records q JOIN l ON l.doc = q.doc_name AND l.page = q.page AND l.image = q.image""")
 def semi_keep(spark: SparkSession, d: str) -> DataFrame:
     qa = table(spark, d, "qa_records").filter("image is not null").select("record_id", F.col("doc_name").alias("doc"), "page", "image", F.lit("text").alias("type"), "bbox").distinct()
     verdicts = qa.select("doc", "page", "image", F.col("record_id").alias("ord"), (F.col("record_id") % 4 != 0).alias("keep"))
     out = regions.merged_records(qa, verdicts)
-    return out.select("record_id", "doc", "page", "image", F.col("bbox")[0].cast("bigint").alias("x1")).distinct()
+    return out.select("record_id", "doc", "page", "image", F.array_join(F.col("bbox").cast("array<string>"), ",").alias("box")).distinct()
 
 
 @query("""SELECT DISTINCT image, coalesce(try_cast(nullif(regexp_replace(image, '[^0-9]', '', 'g'), '') AS BIGINT), 1000000000) AS digits,
@@ -577,18 +582,29 @@ def page_sort(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_images").select("image", tx.bare_number_key(F.col("image")).alias("digits"), tx.suffix_page(stem).alias("suffix")).distinct()
 
 
-@query()
+@query("SELECT doc_name, least(5, count(*)) AS n_sampled, true AS known FROM (SELECT DISTINCT doc_name, page FROM page_images) GROUP BY doc_name")
 def page_sample(spark: SparkSession, d: str) -> DataFrame:
+    """Five pages of each document by hash: how many were drawn, and whether they are pages of it."""
     pages = table(spark, d, "page_images").select("doc_name", "page").distinct()
-    return rows.page_sample(pages, ["doc_name"], "page", 5)
+    drawn = rows.page_sample(pages, ["doc_name"], "page", 5).distinct()
+    known = pages.withColumn("k", F.lit(True))
+    on = drawn["doc_name"].eqNullSafe(known["doc_name"]) & drawn["page"].eqNullSafe(known["page"])
+    both = drawn.join(known, on, "left").select(drawn["doc_name"], "k")
+    return both.groupBy("doc_name").agg(F.count("*").alias("n_sampled"), F.every(F.coalesce("k", F.lit(False))).alias("known"))
 
 
 @query("""WITH c AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) ordinal FROM customer), s AS (SELECT s_suppkey, s_name, row_number() OVER (ORDER BY s_suppkey) ordinal FROM supplier)
- SELECT ordinal, c_custkey, c_name, s_suppkey, s_name FROM c JOIN s USING (ordinal) WHERE ordinal > 5 AND ordinal <= 5 + 5000""")
+ SELECT ordinal, c_custkey, c_name, s_suppkey, s_name FROM c JOIN s USING (ordinal)""")
 def zip_join(spark: SparkSession, d: str) -> DataFrame:
     c = rows.with_ordinal(table(spark, d, "customer").select("c_custkey", "c_name"), ["c_custkey"])
     s = rows.with_ordinal(table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
-    return rows.row_window(rows.positional_join(c, s), "ordinal", 5, 5000)
+    return rows.positional_join(c, s)
+
+
+@query("SELECT * FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) ordinal FROM part) WHERE ordinal > 100 AND ordinal <= 350")
+def row_window(spark: SparkSession, d: str) -> DataFrame:
+    """The window is the feature."""
+    return rows.row_window(rows.with_ordinal(table(spark, d, "part").select("p_partkey"), ["p_partkey"]), "ordinal", 100, 250)
 
 
 _STORED = "SELECT user_id AS sample_idx, event_id AS ord, value AS predict, CASE WHEN event_id % 3 = 0 THEN 'failed' END AS error FROM events"
@@ -615,15 +631,17 @@ def resume_merge(spark: SparkSession, d: str) -> DataFrame:
     return out.select("sample_idx", F.when(F.col("ord") == -1, "fresh").otherwise(F.col("ord").cast("string")).alias("source"))
 
 
-@query()
+@query("""WITH p AS (SELECT p_partkey, CAST(p_partkey % 9 + 4 AS INTEGER) w, CAST(p_partkey % 5 + 3 AS INTEGER) h, repeat(md5(CAST(p_partkey AS VARCHAR)), 18) x FROM part)
+ SELECT p_partkey, md5(substr(x, 1, w * h * 6)) AS pixels, concat(substr(x, w * 6 + 7, 12), substr(x, w * 12 + 7, 12)) AS crop, CAST(2 AS INTEGER) AS crop_width, CAST(NULL AS VARCHAR) AS error FROM p""")
 def png_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Small images drawn from part keys, encoded, cropped and decoded again."""
     p = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 9 + 4).cast("int").alias("w"), (F.col("p_partkey") % 5 + 3).cast("int").alias("h"))
-    pixels = F.unhex(F.substring(F.repeat(F.sha2(F.col("p_partkey").cast("string"), 512), 6), F.lit(1), F.col("w") * F.col("h") * 6))
-    made = p.withColumn("pixels", pixels).withColumn("file", png.encoded(F.col("w"), F.col("h"), F.col("pixels")))
+    pixels = F.unhex(F.substring(F.repeat(F.md5(F.col("p_partkey").cast("string")), 18), F.lit(1), F.col("w") * F.col("h") * 6))
+    made = p.withColumn("file", png.encoded(F.col("w"), F.col("h"), pixels))
     cut = png.cropped(F.col("file"), F.array(F.lit(1.0), F.lit(1.0), F.lit(3.0), F.lit(3.0)))
-    back = made.select("p_partkey", "pixels", png.decoded(F.col("file")).alias("r"), png.decoded(cut).alias("c"))
-    return back.select("p_partkey", (F.col("r.pixels") == F.col("pixels")).alias("same"), F.col("c.width").alias("crop_width"), F.col("c.error").alias("error"))
+    back = made.select("p_partkey", png.decoded(F.col("file")).alias("r"), png.decoded(cut).alias("c"))
+    shown = lambda c: F.lower(F.hex(c))
+    return back.select("p_partkey", F.md5(shown("r.pixels")).alias("pixels"), shown("c.pixels").alias("crop"), F.col("c.width").alias("crop_width"), F.col("c.error").alias("error"))
 
 
 @query("SELECT record_id, src, n FROM (SELECT record_id, 'qa' AS src, count(*) AS n FROM qa_records GROUP BY record_id UNION ALL SELECT ann_id, 'bench', count(*) FROM bench_annotations GROUP BY ann_id)")

@@ -8,6 +8,9 @@ import os
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioframe.operators.rows import with_ordinal
+from folioframe.plans.staging import stage
+
 IMAGE_NAMES = r"(?i)\.(png|jpe?g|webp|bmp)$"
 
 
@@ -17,11 +20,15 @@ def json_lines(spark: SparkSession, path: str | list[str], schema: str, mode: st
 
 
 def numbered_lines(spark: SparkSession, path: str, schema: str, skip_blank: bool = True) -> DataFrame:
-    """JSON lines of one file set with ``line_no`` (1-based, in file and line order) and ``error`` for malformed ones."""
-    lines = spark.read.text(path)
-    # positions of lines are only known while they are read in order
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[1] + 1, x[0][0]))
-    df = spark.createDataFrame(numbered, "line_no bigint, value string")
+    """JSON lines of one file set with ``line_no`` (1-based, in file and line order) and ``error`` for malformed ones.
+
+    Lines get their order while they are read (the splits of a file are read in
+    order); the numbers come from a range-partitioned count, not from one task.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"), "value"
+    )
+    df = with_ordinal(stage(lines, "lines"), ["file", "start", "at"], out="line_no").select("line_no", "value")
     if skip_blank:
         df = df.filter(F.trim("value") != "")
     parsed = F.from_json("value", schema + ", _bad string", {"columnNameOfCorruptRecord": "_bad"})
@@ -45,23 +52,45 @@ def files(spark: SparkSession, path: str, pattern: str = "*", recursive: bool =
     return reader.option("recursiveFileLookup", recursive).load(path)
 
 
+def listing(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
+    """path, length, modificationTime of files; their contents are not read."""
+    return files(spark, path, pattern, recursive).select("path", "length", "modificationTime")
+
+
 def image_files(spark: SparkSession, path: str) -> DataFrame:
-    return files(spark, path).filter(F.col("path").rlike(IMAGE_NAMES))
+    """Listing of images, in the order of their paths."""
+    return listing(spark, path).filter(F.col("path").rlike(IMAGE_NAMES)).orderBy("path")
 
 
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """PDFs of one folder (not below it); a single file counts in any letter case."""
-    return files(spark, path, "*.{pdf,PDF}" if path.lower().endswith(".pdf") else "*.pdf", recursive=False)
+    single = path.lower().endswith(".pdf")
+    return listing(spark, path, "*.[pP][dD][fF]" if single else "*.pdf", recursive=False).orderBy("path")
 
 
 def json_lines_tree(spark: SparkSession, patterns: list[str], schema: str) -> DataFrame:
-    """JSON lines of several path patterns; a file matched twice is read once. ``file_path`` is added."""
-    frames = [spark.read.schema(schema).json(p).withColumn("file_path", F.col("_metadata.file_path")).withColumn("__p", F.lit(i)) for i, p in enumerate(patterns)]
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    first = out.groupBy("file_path").agg(F.min("__p").alias("__p"))
-    return out.join(first, ["file_path", "__p"], "left_semi").drop("__p")
+    """JSON lines of several path patterns; a file matched twice is listed, and so read, once. ``file_path`` is added."""
+    conf = spark._jsc.hadoopConfiguration()
+    paths: dict[str, None] = {}
+    for p in patterns:
+        at = spark._jvm.org.apache.hadoop.fs.Path(p)
+        for status in at.getFileSystem(conf).globStatus(at) or []:
+            paths[status.getPath().toString()] = None
+    if not paths:
+        return spark.createDataFrame([], schema + ", file_path string")
+    return spark.read.schema(schema).json(list(paths)).withColumn("file_path", F.col("_metadata.file_path"))
+
+
+def filtered_documents(spark: SparkSession, schema: str, folder: str | None, single: str | None) -> DataFrame:
+    """Documents by page (from the file name): those of ``folder`` where it has any, else of the single file; unreadable ones of a folder are left out."""
+    if folder is not None:
+        found = json_documents(spark, folder, schema, "*_filtered.json").filter("_bad is null")
+        if found.limit(1).count():
+            return found.withColumn("page", page_of_name(F.col("file_name")))
+    if single is None:
+        raise FileNotFoundError("no readable *_filtered.json")
+    one = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(single)
+    return one.withColumn("page", page_of_name(F.col("_metadata.file_name")))
 
 
 def page_of_name(name: Column) -> Column:
