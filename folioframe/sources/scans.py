@@ -84,7 +84,7 @@ def json_lines_tree(spark: SparkSession, patterns: list[str], schema: str) -> Da
 def filtered_documents(spark: SparkSession, schema: str, folder: str | None, single: str | None) -> DataFrame:
     """Documents by page (from the file name): those of ``folder`` where it has any, else of the single file; unreadable ones of a folder are left out."""
     if folder is not None:
-        found = json_documents(spark, folder, schema, "*_filtered.json").filter("_bad is null")
+        found = stage(json_documents(spark, folder, schema, "*_filtered.json"), "filtered").filter("_bad is null")
         if found.limit(1).count():
             return found.withColumn("page", page_of_name(F.col("file_name")))
     if single is None:
