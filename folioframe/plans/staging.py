@@ -63,7 +63,8 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """``df`` on at least as many tasks as the session has cores: one small file with a single row group is one task otherwise.
 
-    For steps whose work per row is far above that of moving it. Inputs with more splits than cores stay as they are.
+    For scans (a plan with a shuffle would be run to count its tasks) before steps whose work per row is far above
+    that of moving it. Inputs with more splits than cores stay as they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
