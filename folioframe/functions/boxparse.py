@@ -135,7 +135,7 @@ def decode_text(text: str) -> Any:
     if got is Unreadable:
         got = _fragments(bare)
         if not got:
-            raise Unreadable(f"Unable to parse structured boxes from: {text[:200]!r}")
+            raise Unreadable(f"holds no boxes in any known notation: {text[:200]!r}")
     return got
 
 
@@ -166,7 +166,7 @@ def read_label(text: Any) -> list[list[Box]]:
         got = rule(data)
         if got is not None:
             return [[got]] if wrap is None else [got] if wrap else got  # type: ignore[list-item,return-value]
-    raise Unreadable(f"Unsupported label structure: {data!r}")
+    raise Unreadable(f"a label is nested in no known way: {data!r}")
 
 
 def read_prediction(text: Any, n_pages: int, single: bool) -> tuple[list[list[Box]], bool, str]:
@@ -194,7 +194,7 @@ def read_prediction(text: Any, n_pages: int, single: bool) -> tuple[list[list[Bo
         if promoted(boxes):
             return [[b] for b in boxes], True, "promoted_by_order"
         return [boxes], False, "flat_boxes"
-    raise Unreadable(f"Unsupported prediction structure: {data!r}")
+    raise Unreadable(f"a prediction is nested in no known way: {data!r}")
 
 
 def read_crops(text: str | None, n_sources: int = 1) -> list[list[Box]] | None:

@@ -42,6 +42,7 @@ def register_dataset(folder: str, name: str, file_name: str) -> dict:
     if os.path.exists(path):
         with open(path, encoding="utf-8") as f:
             catalog = json.load(f)
+    # fixed values: an entry of the catalogue's format
     catalog[name] = {
         "file_name": file_name,
         "formatting": "sharegpt",
@@ -57,6 +58,6 @@ def register_dataset(folder: str, name: str, file_name: str) -> dict:
 
 
 def output_paths(source: str) -> dict[str, str]:
-    """Derived names beside an input file."""
+    """Derived names beside an input file; the endings are fixed values."""
     stem, _ = os.path.splitext(source)
     return {"iou_scored": f"{stem}_iou_scored.jsonl", "iou_metrics": f"{stem}_iou_metrics.json", "judged": f"{stem}_judged.jsonl"}
